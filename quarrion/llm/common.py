@@ -58,11 +58,13 @@ def bounded_sample(df: DataFrame, key: str, n: int, per: str | None = None) -> D
     """At most n rows (of each value of ``per``), chosen by a hash of the key; ``df`` should hold no texts.
 
     Groups are counted first and thinned by the hash to about 4 n rows, so that the ranking sees a bounded number.
+    The counts are broadcast if there are 10 000 groups (labels, languages) at most, and joined by shuffle beyond.
     """
     from pyspark.sql import Window
 
     group = F.col(per) if per else F.lit(0)
     counts = df.groupBy(group.alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = F.broadcast(counts) if not per or counts.count() <= 10_000 else counts
     thinned = df.join(counts, group == F.col("_g")).where(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) * F.col("_n") < 4.0 * n * (1 << 30))
     order = Window.partitionBy(group).orderBy(F.xxhash64(F.col(key)), F.col(key))
     return thinned.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).select(*df.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrion.llm import cuckoo, langid, matroska, packing, quality, setjoin
+from quarrion.llm import cuckoo, langid, matroska, packing, quality, setjoin, toxicity
 from quarrion.llm.common import crc_mod, table
 
 
@@ -38,6 +38,13 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 4) != 2)
+    net = toxicity.fit(docs, labels, "toxic")
+    return toxicity.score(docs, net).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
@@ -46,7 +53,7 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op3_best_fit_packing, op4_language_id, op5_exact_dedup, op8_ngram_jaccard_join, op10_matroska)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op3_best_fit_packing, op4_language_id, op5_exact_dedup, op6_toxicity, op8_ngram_jaccard_join, op10_matroska)}
 
 ORACLE: dict[str, str] = {
     "op5_exact_dedup": """
