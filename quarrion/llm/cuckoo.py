@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrion.llm.common import free_name, join_groups, stored
+from quarrion.llm.common import free_name, join_groups, small_batches, stored
 
 SLOTS, KICKS, MASK64 = 4, 200, (1 << 64) - 1
 
@@ -185,6 +185,7 @@ def _merge(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[pa.
 def merge_digests(rows: DataFrame) -> DataFrame:
     """(digest, keep_id, group_size) of rows with these columns: the largest id and the total size of each digest."""
     schema = "digest binary, keep_id bigint, group_size bigint"
+    small_batches(rows.sparkSession)
     partial = rows.select("digest", "keep_id", "group_size").mapInArrow(lambda b: _merge(b, MAP_DIGESTS), schema)
     return partial.repartition("digest").mapInArrow(lambda b: _merge(b, None), schema)
 

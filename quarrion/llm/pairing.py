@@ -79,11 +79,11 @@ def _unpack(rows: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], schema=_EDGES)
 
 
-def candidate_edges(items: DataFrame, signatures: Callable[[pa.Array], Iterator[tuple[int, np.ndarray, int]]], expected: int) -> DataFrame:
+def candidate_edges(items: DataFrame, signatures: Callable[[pa.Array], Iterator[tuple[int, np.ndarray, int | None]]], expected: int) -> DataFrame:
     """Distinct (a, b) with a < b: a star of candidate edges for each signature key.
 
     ``items`` has ``doc_id`` (not null) and ``text``; ``signatures`` yields (position, keys, content hash) for the texts of
-    a chunk.  Within a chunk of keys, texts of equal content hash are emitted once.  ``expected`` sizes the buckets.
+    a chunk.  Within a chunk of keys, texts of equal content hash (unless it is None) are emitted once.  ``expected`` sizes the buckets.
     """
     shuffle = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(2 * shuffle, expected // BUCKET_KEYS + 1)
@@ -93,9 +93,10 @@ def candidate_edges(items: DataFrame, signatures: Callable[[pa.Array], Iterator[
         for batch, texts in chunks:
             docs = batch.column(0).to_numpy()
             for i, k, content in signatures(texts):
-                if content in seen:
-                    continue
-                seen.add(content)
+                if content is not None:
+                    if content in seen:
+                        continue
+                    seen.add(content)
                 keys.append(k)
                 ids.append(np.full(len(k), docs[i], np.int64))
                 n += len(k)

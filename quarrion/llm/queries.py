@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrion.llm import cuckoo, langid, matroska, packing, quality, setjoin, toxicity
+from quarrion.llm import cuckoo, langid, matroska, packing, passages, quality, setjoin, toxicity
 from quarrion.llm.common import crc_mod, table
 
 
@@ -18,6 +18,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -53,7 +57,7 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op3_best_fit_packing, op4_language_id, op5_exact_dedup, op6_toxicity, op8_ngram_jaccard_join, op10_matroska)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_substring_dedup, op3_best_fit_packing, op4_language_id, op5_exact_dedup, op6_toxicity, op8_ngram_jaccard_join, op10_matroska)}
 
 ORACLE: dict[str, str] = {
     "op5_exact_dedup": """
