@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrion.llm import cuckoo, langid, matroska, packing, passages, quality, setjoin, toxicity
+from quarrion.llm import cuckoo, langid, linediff, matroska, mixing, packing, passages, quality, setjoin, toxicity
 from quarrion.llm.common import crc_mod, table
 
 
@@ -49,17 +49,51 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, net).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linediff.aligned_lines(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.calibrated(table(spark, sf_dir, "documents"))
+
+
 def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_substring_dedup, op3_best_fit_packing, op4_language_id, op5_exact_dedup, op6_toxicity, op8_ngram_jaccard_join, op10_matroska)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_substring_dedup, op3_best_fit_packing, op4_language_id, op5_exact_dedup, op6_toxicity, op7_line_dedup, op8_ngram_jaccard_join, op9_mix_sources, op10_matroska)}
+
+
+
+def mixing_sql() -> str:
+    """The raking of ``mixing`` with its default targets, one common table expression for each step."""
+    keys = ("source", "lang", "topic")
+    words = r"len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) + 1"
+    count = lambda chars: f"length(coalesce(text, '')) - length(translate(coalesce(text, ''), '{chars}', ''))"
+    steps = [
+        f"""docs AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, n_tokens,
+              CASE WHEN pipes * 4 >= n_tokens THEN 'table' WHEN marks >= n_tokens THEN 'marked' WHEN n_tokens <= 50 THEN 'short' ELSE 'prose' END AS topic
+              FROM (SELECT *, {words} AS n_tokens, {count("|")} AS pipes, {count("!#$%&*")} AS marks FROM documents))""",
+        "cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM docs GROUP BY ALL)",
+    ]
+    goals = "".join(f", g_{k}.goal AS goal_{k}" for k in keys)
+    for k in keys:
+        steps.append(f"g_{k} AS (SELECT {k}, x / sum(x) OVER () AS goal FROM (SELECT {k}, pow(CAST(sum(tokens) AS DOUBLE), {mixing.POWERS[k]}) AS x FROM cells GROUP BY {k}))")
+    steps.append(f"w0 AS (SELECT cells.*, tokens / sum(tokens) OVER () AS weight{goals} FROM cells " + " ".join(f"JOIN g_{k} USING ({k})" for k in keys) + ")")
+    for n in range(mixing.SWEEPS * 3):
+        k = keys[n % 3]
+        steps.append(f"w{n + 1} AS MATERIALIZED (SELECT * REPLACE (weight * goal_{k} / sum(weight) OVER (PARTITION BY {k}) AS weight) FROM w{n})")
+    steps.append(f"r AS (SELECT source, lang, topic, round(ratio / max(ratio) OVER (), 9) AS rate FROM (SELECT *, weight * sum(tokens) OVER () / tokens AS ratio FROM w{mixing.SWEEPS * 3}))")
+    draw = "CAST('0x' || substr(md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) / 281474976710656.0"
+    return f"WITH {', '.join(steps)} SELECT doc_id, source, lang, topic, n_tokens, rate, {draw} < rate AS kept FROM docs JOIN r USING (source, lang, topic)"
+
 
 ORACLE: dict[str, str] = {
+    "op9_mix_sources": mixing_sql(),
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
