@@ -215,4 +215,4 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """The rows of ``df`` whose text stays, with all their columns; ids must be unique to tell rows apart."""
     flag = free_name(df.columns, "_dropped_id")
     gone = exact_dedup(df, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(flag))
-    return df.join(gone, df[id_col] == gone[flag], "left_anti")
+    return df.join(gone.hint("merge"), df[id_col] == gone[flag], "left_anti")  # ids grow with the data: never broadcast

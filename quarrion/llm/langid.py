@@ -8,6 +8,7 @@ distance, which is learned from the sample's own distances, is rejected.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.llm import textvec as tv
-from quarrion.llm.common import bounded_sample, map_texts, slim
+from quarrion.llm.common import bounded_sample, map_texts, slim, small_batches, text_batches
 
 BITS, ORDERS = 14, (2, 3, 4)
 #: Texts of each language that a model learns from at most, and centroids of a language.
@@ -126,6 +127,16 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     return Model(langs, idf, np.concatenate(centres), np.array(owner), max(reject, 0.0))
 
 
+def judge(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, cosine and rejection of a few texts."""
+    best = model.cosines(count_ngrams(texts))
+    lettered = np.array([has_letter(t.as_buffer().to_pybytes()) for t in texts], bool)
+    pick = best.argmax(1)
+    top = np.clip(best[np.arange(len(pick)), pick], 0, 1)
+    langs = [model.langs[p] if ok else UNKNOWN for p, ok in zip(pick, lettered, strict=True)]
+    return langs, np.where(lettered, top, 0.0), ~lettered | (top < model.reject)
+
+
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, rejected) for each row.
 
@@ -136,19 +147,25 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(chunks):
-        m = held.value
         for batch, texts in chunks:
             for at in range(0, len(texts), _ROWS):
-                part = texts.slice(at, _ROWS)
-                best = m.cosines(count_ngrams(part))
-                lettered = np.array([has_letter(t.as_buffer().to_pybytes()) for t in part])
-                pick = best.argmax(1)
-                top = np.clip(best[np.arange(len(pick)), pick], 0, 1)
-                yield {
-                    "doc_id": batch.column(0).slice(at, _ROWS),
-                    "lang_pred": [m.langs[p] if ok else UNKNOWN for p, ok in zip(pick, lettered, strict=True)],
-                    "score": np.where(lettered, top, 0.0),
-                    "rejected": ~lettered | (top < m.reject),
-                }
+                langs, score, rejected = judge(held.value, texts.slice(at, _ROWS))
+                yield {"doc_id": batch.column(0).slice(at, _ROWS), "lang_pred": langs, "score": score, "rejected": rejected}
 
     return map_texts(slim(df, id_col, text_col), run, "doc_id bigint, lang_pred string, score double, rejected boolean")
+
+
+def keep_identified(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that are not rejected, with all their columns; batches are filtered in place, nothing is shuffled."""
+    small_batches(df.sparkSession)
+    held = df.sparkSession.sparkContext.broadcast(model)
+    names, at = df.columns, df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            named = pa.RecordBatch.from_arrays(batch.columns, [f"c{i}" for i in range(len(names))])
+            for rows, texts in text_batches([named], f"c{at}"):
+                keep = np.concatenate([~judge(held.value, texts.slice(i, _ROWS))[2] for i in range(0, len(texts), _ROWS)])
+                yield pa.RecordBatch.from_arrays(rows.filter(pa.array(keep)).columns, names)
+
+    return df.mapInArrow(run, df.schema)

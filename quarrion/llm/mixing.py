@@ -15,7 +15,7 @@ from quarrion.llm.common import free_name, stored
 
 KEYS = ("source", "lang", "topic")
 #: Default targets: each margin's token shares to this power, normalised.
-POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.9}
+POWERS = {"source": 0.85, "lang": 0.85, "topic": 0.95}
 SWEEPS, STEP = 12, 4
 #: Cells that are broadcast at most; more are joined by shuffle.
 BROADCAST_CELLS = 100_000
