@@ -23,7 +23,9 @@ BITS, ORDERS, DIM = 17, (2, 3, 4, 5), 8
 #: Labelled rows that a model learns from at most.
 SAMPLE = 4000
 EPOCHS, BATCH, RATE = 12, 32, 0.5
-_REPEAT = 0  # the feature of a repeated word
+#: Steps of SGD at least: few rows are gone over more often.
+LEAST_STEPS = 800
+_REPEAT, _OFTEN = 0, 8  # the feature of a repeated word, which counts as often as a word's n-grams would
 
 
 def features(texts: pa.Array):
@@ -36,7 +38,7 @@ def features(texts: pa.Array):
     again[1:] = words[1:] == words[:-1]
     again[t.first[:-1][t.first[:-1] < len(words)]] = False
     at = np.flatnonzero(again)
-    yield np.full(len(at), _REPEAT, np.int64), np.searchsorted(at, t.first)
+    yield np.full(_OFTEN * len(at), _REPEAT, np.int64), _OFTEN * np.searchsorted(at, t.first)
     stream, starts = tv.padded(t.data, t.offsets, tv.MARKS)
     for order in ORDERS:
         ids, ok = tv.ngram_ids(stream, order, BITS)
@@ -99,8 +101,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
     share = np.clip(labels.mean() if len(labels) else 0.5, 0.01, 0.99)
     b = np.array([0.0, np.log(share / (1 - share))], np.float32)
     past_e, past_w = np.full((1 << BITS, 1), 1e-4, np.float32), np.full(w.shape, 1e-2, np.float32)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(rows))) if rows else 0
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             batch = order[at : at + BATCH]

@@ -1,0 +1,195 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from quarrion.llm import langid, quality, toxicity
+from quarrion.llm.common import crc_mod
+
+
+def large(*texts):
+    return pa.array(list(texts), pa.large_string())
+
+
+# Language
+
+
+def test_counts_do_not_cross_texts_or_words():
+    a, b = langid.count_ngrams(large("ab cd", "ab"))
+    joined = langid.count_ngrams(large("abcd"))[0]
+    assert a.sum() == 2 * b.sum() > 0 and (joined != a).any()
+    assert (langid.count_ngrams(large("AB cd"))[0] == a).all() and not langid.count_ngrams(large("12 !!", ""))[0].any()
+
+
+def test_letters():
+    for text, want in (("", False), ("12 !", False), ("a", True), ("é", True), ("漢", True), ("٣ ☃", False), ("😀", False)):
+        assert langid.has_letter(text.encode()) is want, text
+
+
+def test_language_held_out_accuracy(tables):
+    docs = tables("documents")
+    model = langid.fit(docs.where(crc_mod("doc_id", 3) != 1))
+    assert model.langs == ["de", "en", "es", "fr"] and len(model.owner) > len(model.langs)
+    held = docs.where(crc_mod("doc_id", 3) == 1)
+    rows = langid.identify(held, model).join(held.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.lang_pred == r.lang for r in rows) >= 0.97 * len(rows) and sum(r.rejected for r in rows) == 0
+    assert all(0 <= r.score <= 1 for r in rows)
+    # nearest centroid, by hand, for one text
+    text = held.where("doc_id = %d" % rows[0].doc_id).first().text
+    counts = langid.count_ngrams(large(text))[0].astype(float)
+    x = np.sqrt(counts) * model.idf
+    sims = model.centroids @ x / np.linalg.norm(x)
+    assert model.langs[model.owner[int(sims.argmax())]] == rows[0].lang_pred and abs(sims.max() - rows[0].score) < 1e-4
+
+
+def test_language_odd_rows(docs_of, tables, odd_rows):
+    model = langid.fit(tables("documents"))
+    got = langid.identify(docs_of(odd_rows, extra=True), model)
+    rows = got.collect()
+    assert len(rows) == len(odd_rows)
+    unknown = {r.doc_id for r in rows if r.lang_pred == "und"}
+    assert unknown == {1, 2, 3, 9} and all(r.rejected and r.score == 0 for r in rows if r.lang_pred == "und")
+    df = docs_of(odd_rows, extra=True)
+    kept = langid.keep_identified(df, model)
+    assert kept.columns == df.columns
+    assert sorted(map(repr, kept.select("doc_id").collect())) == sorted(map(repr, got.where("not rejected").select("doc_id").collect()))
+    assert langid.identify(df.limit(0), model).collect() == [] and langid.keep_identified(df.limit(0), model).collect() == []
+
+
+def test_far_texts_are_rejected(docs_of):
+    rng = random.Random(2)
+    train = docs_of([(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(40)), "xx") for i in range(60)])
+    model = langid.fit(train)
+    got = {r.doc_id: r.rejected for r in langid.identify(docs_of([(1, "alpha beta gamma delta alpha"), (2, "zzyzx qwrty vbnmk jhgfd wxyzq")]), model).collect()}
+    assert got == {1: False, 2: True}
+
+
+def test_language_needs_rows(docs_of):
+    with pytest.raises(ValueError):
+        langid.fit(docs_of([(1, "text")]).selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang"))
+
+
+# Quality
+
+
+def junk(rng, n):
+    good = " ".join(rng.choice(["river", "stone", "light", "garden", "window", "letter"]) for _ in range(40))
+    return [(good, 1) if i % 3 else (" ".join(w + "***" for w in good.split()), 0) if i % 2 else (" ".join([good.split()[0]] * 40), 0) for i in range(n)]
+
+
+def test_quality_learns_and_matches_its_definition(docs_of, spark):
+    rng = random.Random(4)
+    data = [p for _ in range(40) for p in junk(rng, 6)]
+    docs = docs_of([(i, t) for i, (t, _) in enumerate(data)])
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(data) if i % 4], "doc_id bigint, quality int")
+    model = quality.fit(docs, labels, "quality")
+    rows = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    held = [i for i in rows if i % 4 == 0]
+    assert sum(rows[i].predicted == data[i][1] for i in held) >= 0.9 * len(held)
+    # the score is the softmax over the mean of the features' vectors
+    ids = np.concatenate([x for x, _ in quality.features(large(data[0][0]))])
+    z = model.weights @ model.vectors[ids].mean(0) + model.bias
+    want = 1 / (1 + np.exp(-(model.scale[0] * (z[1] - z[0]) + model.scale[1])))
+    assert abs(rows[0].score - want) < 1e-4
+
+
+def test_quality_features_by_hand():
+    kinds = [x for x, _ in quality.features(large("ab ab", "ab"))]
+    bounds = [b.tolist() for _, b in quality.features(large("ab ab", "ab"))]
+    assert bounds[0] == [0, 2, 3] and len(set(kinds[0].tolist())) == 1  # words
+    assert bounds[1] == [0, 8, 8]  # one repetition, in the first text
+    assert bounds[2] == [0, 6, 9]  # " a", "ab", "b " of each word
+
+
+def test_quality_odd_rows(docs_of, spark, odd_rows):
+    docs = docs_of(odd_rows, extra=True)
+    labels = spark.createDataFrame([(4, 1), (9, 0), (4, None), (None, 1), (8, 7)], "doc_id bigint, quality int")
+    model = quality.fit(docs, labels, "quality")
+    rows = quality.score(docs, model).collect()
+    assert len(rows) == len(odd_rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    assert len({r.score for r in rows if r.doc_id in (1, 2)}) == 1
+    assert quality.score(docs.limit(0), model).collect() == []
+    empty = quality.fit(docs, labels.limit(0), "quality")
+    assert len(quality.score(docs, empty).collect()) == len(odd_rows)
+
+
+# Toxicity
+
+
+def test_windows_cover_all_words():
+    for n in range(0, 200):
+        starts = toxicity.window_starts(n)
+        covered = {w for s in starts for w in range(s, s + toxicity.WINDOW)}
+        assert set(range(n)) <= covered and all(b - a == toxicity.STRIDE < toxicity.WINDOW for a, b in zip(starts, starts[1:]))
+        assert n == 0 or starts[-1] < n
+
+
+def test_gradients():
+    w, first = toxicity._joined([toxicity.inputs(large(t))[0] for t in ("one two three four " * 9, "five six")])
+    at, live, bounds = toxicity.layout(first)
+    net = toxicity.Net.new()
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x = net.embed(w).astype(np.float64)
+    y = np.repeat([1.0, 0.0], np.diff(bounds))
+
+    def loss():
+        z = net.forward(x, at, live)
+        return (np.logaddexp(0, z) - y * z).sum()
+
+    tape: dict = {}
+    g, dx = net.backward(x, at, live, tape, toxicity._sigmoid(net.forward(x, at, live, tape)) - y)
+    rng = np.random.default_rng(1)
+    for array, grad in [(net.p[k], g[k]) for k in g] + [(x, dx)]:
+        for _ in range(3):
+            i = tuple(rng.integers(s) for s in array.shape)
+            was = array[i]
+            array[i] = was + 1e-4
+            up = loss()
+            array[i] = was - 1e-4
+            down = loss()
+            array[i] = was
+            assert abs((up - down) / 2e-4 - grad[i]) < 1e-5
+
+
+def test_batches_do_not_change_scores():
+    net = toxicity.Net.new()
+    texts = ["a b c " * 30, "", "x", "some other words here " * 11]
+    words, first = toxicity.inputs(large(*texts))
+    together = toxicity.worst(net, words, first)
+    alone = [toxicity.worst(net, *toxicity.inputs(large(t)))[0] for t in texts]
+    assert np.allclose(together, alone, atol=1e-5)
+
+
+def test_toxicity_learns(docs_of, spark):
+    rng = random.Random(6)
+    words = ["river", "stone", "light", "garden", "window", "letter", "market", "summer"]
+
+    def text(bad):
+        w = [rng.choice(words) for _ in range(rng.randrange(10, 90))]
+        for _ in range(3 if bad else 0):
+            w[rng.randrange(len(w))] = rng.choice(["vilex", "vilely", "rotten"])
+        return " ".join(w)
+
+    data = [(i, text(i % 3 == 0), int(i % 3 == 0)) for i in range(450)]
+    docs = docs_of([(i, t) for i, t, _ in data])
+    labels = spark.createDataFrame([(i, y) for i, _, y in data if i % 5], "doc_id bigint, toxic int")
+    net = toxicity.fit(docs, labels, "toxic")
+    rows = {r.doc_id: r.predicted for r in toxicity.score(docs, net).collect()}
+    held = [d for d in data if d[0] % 5 == 0]
+    assert sum(rows[i] == y for i, _, y in held) >= 0.95 * len(held)
+    # a toxic passage anywhere in a long text is found
+    clean = " ".join(rng.choice(words) for _ in range(3000))
+    far = docs_of([(1, clean), (2, clean + " rotten vilex rotten vilely"), (3, "rotten vilex rotten vilely " + clean)])
+    s = {r.doc_id: r.score for r in toxicity.score(far, net).collect()}
+    assert s[2] > s[1] and s[3] > s[1] and min(s[2], s[3]) > 0.5
+
+
+def test_toxicity_odd_rows(docs_of, spark, odd_rows):
+    docs = docs_of(odd_rows, extra=True)
+    labels = spark.createDataFrame([(4, 1), (8, 0), (None, 1)], "doc_id bigint, toxic int")
+    net = toxicity.fit(docs, labels, "toxic")
+    rows = toxicity.score(docs, net).collect()
+    assert len(rows) == len(odd_rows) and all(0 <= r.score <= 1 for r in rows)
+    assert toxicity.score(docs.limit(0), net).collect() == []
+    assert len(toxicity.score(docs, toxicity.fit(docs, labels.limit(0), "toxic")).collect()) == len(odd_rows)
