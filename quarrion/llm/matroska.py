@@ -278,7 +278,7 @@ def lace(frames: list[bytes], lacing: int) -> bytes:
     head = bytes([len(frames) - 1])
     if lacing == XIPH:
         head += b"".join(b"\xff" * (len(f) // 255) + bytes([len(f) % 255]) for f in frames[:-1])
-    elif lacing == EBML_LACING:
+    elif lacing == EBML_LACING and len(frames) > 1:
         head += vint(len(frames[0]))
         for a, b in zip(frames[:-2], frames[1:-1], strict=True):
             d = len(b) - len(a)
