@@ -86,7 +86,7 @@ def candidate_edges(items: DataFrame, signatures: Callable[[pa.Array], Iterator[
     a chunk.  Within a chunk of keys, texts of equal content hash (unless it is None) are emitted once.  ``expected`` sizes the buckets.
     """
     shuffle = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(2 * shuffle, expected // BUCKET_KEYS + 1)
+    buckets = max(shuffle, expected // BUCKET_KEYS + 1)
 
     def run(chunks):
         keys, ids, n, seen = [], [], 0, set()
@@ -170,8 +170,8 @@ def verified_edges(texts: DataFrame, edges: DataFrame, sizes: DataFrame, k: int,
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")))
     placed = placed.select("node", "component", F.col("own").alias("own"), "other", task.alias("task"))
-    # texts are cut to the candidates first, then copied to the pairs of blocks
-    wanted = texts.join(placed, texts["doc_id"] == placed["node"]).select("task", "component", "own", "other", "node", "text")
+    # candidates grow with the data, so neither side is ever broadcast
+    wanted = texts.join(placed.hint("merge"), texts["doc_id"] == placed["node"]).select("task", "component", "own", "other", "node", "text")
 
     def verify(rows: pa.Table) -> pa.Table:
         union, groups_of = _Union(), {}
