@@ -32,7 +32,7 @@ from quarrion.llm.pairing import candidate_edges, verified_edges
 #: Largest over smallest size of a band.
 BAND_RATIO = 1.5
 #: A verified candidate costs as much as so many index entries; a share of pairs taken to hold any one common shingle.
-VERIFY_COST, COMMON = 20.0, 1 / 9
+VERIFY_COST, COMMON = 20.0, 1 / 30
 _KEY, _SEG, _NEXT = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
 
@@ -76,11 +76,11 @@ def allocate(counts: dict[int, int], num: int, den: int) -> dict[int, int]:
             continue
         load = min(sum(bands()[band]) / 2 / m, 50.0)
         p = [exp(-load) * load**z / factorial(z) for z in range(40)]
-        near = sum((p[z] + (p[z - 1] if z else 0)) ** 2 * (COMMON if z else 1) for z in range(40))
+        near = sum((p[z] + (p[z - 1] if z else 0)) ** 2 * COMMON ** max(0, z - 1) for z in range(40))
 
         def cost(t: int, n=n, m=m, load=load, p=p, near=near) -> float:
             entries = n * m * (1 + load * sum(p[: t + 1]))
-            meet = sum(p[z] ** 2 * (COMMON if z else 1) * (near if z <= t else 1) for z in range(40))
+            meet = sum(p[z] ** 2 * COMMON**z * (near if z <= t else 1) for z in range(40))
             return entries + VERIFY_COST * n * n / 2 * m * meet
 
         out[band] = min(range(-1, 5), key=cost)
@@ -172,7 +172,7 @@ def jaccard_components(df: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     found = components(linked.unionByName(tied.select("a", "b"))).select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
     found = found.join(members.where("n > 0").groupBy("rep").agg(F.count(F.lit(1)).alias("_rows")), "rep")
     out = join_groups(members, found, ["rep"], "_rows", total)
-    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "rep"))
+    own = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "rep"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
@@ -180,4 +180,4 @@ def one_of_each(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col
     """The rows of ``df`` with the least id of their component, with all their columns; rows with a null id stay."""
     flag = free_name(df.columns, "_dropped_id")
     gone = jaccard_components(df, k, num, den, id_col, text_col).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(flag)).distinct()
-    return df.join(gone, df[id_col] == gone[flag], "left_anti")
+    return df.join(gone.hint("merge"), df[id_col] == gone[flag], "left_anti")  # ids grow with the data: never broadcast
