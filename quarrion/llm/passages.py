@@ -5,6 +5,11 @@ cut alike wherever it stands.  Equal paragraphs (in lower case, by words) form c
 word shingles; ``tune`` chooses bands and rows for a recall at the threshold.  Classes that share a band are joined,
 verified by the exact Jaccard of their shingles, and linked; of every component of links the first paragraph, by document
 and place, stays.
+
+A passage may also stand across the ends of paragraphs.  For these, blocks of BLOCK words at anchored places serve as
+paragraphs of their own with one exact band: of every SPREAD consecutive blocks of a text the one with the least hash is an
+anchor, so two texts that share BLOCK + SPREAD - 1 words in a row share an anchored block.  Every holder of a block but the
+first repeats it, and repeated blocks that touch make one passage.
 """
 
 from __future__ import annotations
@@ -13,19 +18,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrion.llm import textvec as tv
-from quarrion.llm.common import join_groups, map_texts, slim, stored
+from quarrion.llm.common import join_groups, map_texts, slim, small_batches, stored
 from quarrion.llm.graph import components
-from quarrion.llm.pairing import candidate_edges, verified_edges
+from quarrion.llm.pairing import CHUNK_KEYS, candidate_edges, verified_edges
 from quarrion.llm.setjoin import _signed, set_hash
 
 #: Words that a paragraph must have to count, words of a line that is not cut, and of a cut part at least.
 LEAST, LONGEST, PART = 25, 120, 40
 SHINGLE, NUM, DEN = 5, 80, 100
-RECALL, MOST_HASHES = 0.9995, 128
+RECALL, MOST_HASHES = 0.995, 128
+#: Words of an anchored block, and blocks of which one is an anchor: 50 words in a row always hold one.
+BLOCK, SPREAD = 20, 31
 _CUT = np.uint64(31)  # a word whose hash has these bits clear may begin a part
 
 
@@ -103,16 +110,114 @@ def minhash_keys(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return tv.mix(np.add.reduceat(tv.mix(low + place * tv.PLACE[1]), np.arange(0, n, rows)) + np.arange(bands, dtype=np.uint64) * tv.PLACE[2])
 
 
-def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """One row for each paragraph that repeats an earlier one and would be removed.
+def _sliding(x: np.ndarray, n: int, pick) -> np.ndarray:
+    """pick (minimum or maximum) over every n consecutive values."""
+    size = 1
+    while size * 2 <= n:
+        x = pick(x[:-size], x[size:])
+        size *= 2
+    return pick(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
 
-    doc_id, paragraph (its number among the document's paragraphs of LEAST words), start and end (bytes of the text's UTF-8
-    form), n_words, keep_doc_id and keep_paragraph (the paragraph that stays), component_id.  The first by (doc_id, paragraph)
-    of each component stays, so a repetition within a document counts too.  Null, empty and short texts and rows with a null id
-    give no rows; a row that repeats another (id and text) gives the same rows again; no rows give no rows; other columns
-    are not read.
+
+def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, hashes) of a text's anchored blocks; of equal blocks only the first."""
+    n = len(words) - BLOCK + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = tv.sequence_hashes(words, BLOCK)
+    spread = min(SPREAD, n)
+    least = _sliding(h, spread, np.minimum)
+    reach = np.concatenate([np.zeros(spread - 1, np.uint64), least, np.zeros(spread - 1, np.uint64)])
+    at = np.flatnonzero(h == _sliding(reach, spread, np.maximum))
+    _, first = np.unique(h[at], return_index=True)
+    at = at[np.sort(first)]
+    return at, h[at]
+
+
+_PACKED = "bucket bigint, key binary, check binary, doc binary, word binary, start binary, end binary, keep binary"
+_BLOCKS = pa.schema([(n, pa.int64()) for n in ("doc_id", "word", "start", "end", "keep_doc_id")])
+
+
+def _first_holders(keys: np.ndarray, checks: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of each block's first holder, of the others, and the first holder's document for each of these."""
+    order = np.lexsort((units[:, 2], units[:, 0], checks, keys))
+    k, c = keys[order], checks[order]
+    first = np.ones(len(k), bool)
+    first[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    head = np.flatnonzero(first)[np.cumsum(first) - 1]
+    return order[first], order[~first], units[order[head[~first]], 0]
+
+
+def _pack_blocks(keys: np.ndarray, checks: np.ndarray, units: np.ndarray, buckets: int) -> Iterator[dict]:
+    first, others, keep = _first_holders(keys, checks, units)
+    keys, checks, known, units = keys[first], checks[first], units[others], units[first]
+    bucket = ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+    at = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(keys)) if len(keys) else []
+    small = lambda u: [u[:, 0].tobytes(), u[:, 1].astype("<u4").tobytes(), u[:, 2].astype("<u4").tobytes(), (u[:, 3] - u[:, 2]).astype("<u4").tobytes()]
+    rows = [(int(bucket[a]), keys[a:b].tobytes(), checks[a:b].astype("<u4").tobytes(), *small(units[a:b]), None) for a, b in zip(at[:-1], at[1:], strict=True)]
+    if len(others):
+        rows.append((int(known[0, 0]) % buckets, None, None, *small(known), keep.tobytes()))
+    yield {n: [r[i] for r in rows] for i, n in enumerate(("bucket", "key", "check", "doc", "word", "start", "end", "keep"))}
+
+
+def _unpack_blocks(rows: pa.Table) -> pa.Table:
+    keys, checks, units, out = [], [], [], []
+    for r in rows.select(["key", "check", "doc", "word", "start", "end", "keep"]).to_pylist():
+        start = np.frombuffer(r["start"], "<u4").astype(np.int64)
+        u = np.stack([np.frombuffer(r["doc"], np.int64), np.frombuffer(r["word"], "<u4").astype(np.int64), start, start + np.frombuffer(r["end"], "<u4")], 1)
+        if r["keep"] is not None:
+            out.append(np.column_stack([u, np.frombuffer(r["keep"], np.int64)]))
+            continue
+        keys.append(np.frombuffer(r["key"], np.uint64))
+        checks.append(np.frombuffer(r["check"], "<u4"))
+        units.append(u)
+    if keys:
+        units_ = np.concatenate(units)
+        _, others, keep = _first_holders(np.concatenate(keys), np.concatenate(checks), units_)
+        out.append(np.column_stack([units_[others], keep]))
+    found = np.concatenate(out) if out else np.zeros((0, 5), np.int64)
+    return pa.Table.from_arrays([pa.array(found[:, i]) for i in range(5)], schema=_BLOCKS)
+
+
+def repeated_blocks(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, end, n_words, keep_doc_id) of runs of blocks that an earlier document (or place) holds as well.
+
+    ``docs`` has doc_id (not null) and text.  ``keep_doc_id`` is the least earlier holder known of any of the run's blocks.
     """
-    docs = slim(df, id_col, text_col).where("doc_id is not null")
+    small_batches(docs.sparkSession)
+    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(chunks):
+        keys, checks, units, n = [], [], [], 0
+        for batch, texts in chunks:
+            t = tv.split(texts)
+            words = tv.word_hashes(t)
+            ids = batch.column(0).to_numpy()
+            for i in range(len(t)):
+                lo = int(t.first[i])
+                at, h = anchors(words[t.words_of(i)])
+                if len(at):
+                    keys.append(h)
+                    checks.append(tv.mix(h ^ words[lo + at] ^ words[lo + at + BLOCK - 1] * tv.PLACE[7]) >> np.uint64(32))
+                    units.append(np.stack([np.full(len(at), ids[i]), at, t.starts[lo + at] - t.offsets[i], t.ends[lo + at + BLOCK - 1] - t.offsets[i]], 1))
+                    n += len(at)
+            if n >= CHUNK_KEYS // 2:
+                yield from _pack_blocks(np.concatenate(keys), np.concatenate(checks), np.concatenate(units), buckets)
+                keys, checks, units, n = [], [], [], 0
+        if n:
+            yield from _pack_blocks(np.concatenate(keys), np.concatenate(checks), np.concatenate(units), buckets)
+
+    blocks = map_texts(docs, run, _PACKED).groupBy("bucket").applyInArrow(_unpack_blocks, "doc_id bigint, word bigint, start bigint, end bigint, keep_doc_id bigint")
+    # a document's repeated blocks, in order, cut where two do not touch
+    order = Window.partitionBy("doc_id").orderBy("word")
+    last = F.max(F.col("word") + BLOCK).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = blocks.withColumn("_new", F.coalesce(F.col("word") > last, F.lit(True)).cast("bigint")).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc_id", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("word") + BLOCK - F.min("word")).cast("int").alias("n_words"), F.min("keep_doc_id").alias("keep_doc_id")).drop("_run")
+
+
+def repeated_paragraphs(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
+    """(doc_id, paragraph, start, end, n_words, keep_doc_id, keep_paragraph, component_id) of paragraphs that are not the first
+    of their component; ``docs`` has doc_id (not null) and text."""
     found = stored(map_texts(docs, lambda c: _split(c, False), PARAGRAPHS), "paragraphs")
     classes = found.groupBy("s1", "s2", "n_words").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.count(F.lit(1)).alias("size"))
     classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
@@ -139,6 +244,24 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "paragraph", "start", "end", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.paragraph").alias("keep_paragraph"), F.col("component").alias("component_id"))
 
 
+
+def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
+    """One row for each paragraph or passage that repeats an earlier one and would be removed.
+
+    kind (``paragraph`` or ``passage``), doc_id, start and end (bytes of the text's UTF-8 form), n_words, keep_doc_id (an
+    earlier document with it); for paragraphs also their number among the document's paragraphs of LEAST words, the
+    keep_paragraph and component_id of what stays: the first by (doc_id, paragraph) of each component, so a repetition
+    within a document counts too.  The two kinds may overlap.  Null, empty and short texts and rows with a null id give no
+    rows; a row that repeats another (id and text) gives the same paragraphs again; no rows give no rows; other columns
+    are not read.
+    """
+    docs = slim(df, id_col, text_col).where("doc_id is not null")
+    paragraph = repeated_paragraphs(docs, k, num, den).withColumn("kind", F.lit("paragraph"))
+    passage = repeated_blocks(docs).withColumn("kind", F.lit("passage"))
+    columns = ["kind", "doc_id", "paragraph", "start", "end", "n_words", "keep_doc_id", "keep_paragraph", "component_id"]
+    return paragraph.unionByName(passage, allowMissingColumns=True).select(*columns)
+
+
 def remove_passages(df: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with the removed byte ranges cut out of each text; ids must be unique."""
     spans = removed.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
@@ -152,8 +275,10 @@ def remove_passages(df: DataFrame, removed: DataFrame, id_col: str = "doc_id", t
             out = []
             for was, text, spans in zip(batch.column(1), texts.to_pylist(), batch.column(2).to_pylist(), strict=True):
                 b = text.encode()
-                for s in reversed(json.loads(spans) if spans else []):
-                    b = b[: s["start"]] + b[s["end"] :]
+                until = len(b)  # spans may overlap
+                for s in sorted(json.loads(spans) if spans else [], key=lambda s: -s["end"]):
+                    b = b[: s["start"]] + b[min(s["end"], until) :] if s["start"] < until else b
+                    until = min(until, s["start"])
                 out.append(b.decode("utf-8", "replace") if was.is_valid else None)
             yield {"doc_id": batch.column(0), "text": out}
 

@@ -120,6 +120,14 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return mix(h + np.uint64(w))
 
 
+def sequence_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words of one text (of at least k words), whatever k is; by prefix sums."""
+    up, down = _power(len(words) + 1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=sums[1:])
+    return mix((sums[k:] - sums[:-k]) * down[: len(words) - k + 1])
+
+
 def distinct(h: np.ndarray) -> np.ndarray:
     """Sorted distinct values."""
     h = np.sort(h)

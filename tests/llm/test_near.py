@@ -166,13 +166,14 @@ def test_passages_against_brute_force(docs_of):
                 union.join(x, y)
     want = sorted((lines[x][0], lines[x][1], lines[union.find(x)][0], lines[union.find(x)][1]) for x in range(len(lines)) if union.find(x) != x)
     df = docs_of(rows, extra=True)
-    got = passages.repeated_passages(df.repartition(4))
+    whole = passages.repeated_passages(df.repartition(4))
+    got = whole.where("kind = 'paragraph'")
     assert sorted((r.doc_id, r.paragraph, r.keep_doc_id, r.keep_paragraph) for r in got.collect()) == want
     text = dict(rows)
     for r in got.collect():
         assert len(text[r.doc_id].encode()[r.start : r.end].split()) == r.n_words
-    out = {r.doc_id: r.text for r in passages.remove_passages(df, got).collect()}
-    assert out[100] == text[100] and out[101] is None and out[103].count("p0x") in (0, 60)
+    out = {r.doc_id: r.text for r in passages.remove_passages(df, whole).collect()}
+    assert out[100] == text[100] and out[101] is None and out[103].count("p0x") == 0 and not whole.where("doc_id = 100").count()
     assert passages.repeated_passages(df.limit(0)).collect() == []
 
 
@@ -180,13 +181,40 @@ def test_passages_inside_long_lines(docs_of):
     rng = random.Random(3)
     shared = " ".join(f"s{rng.randrange(10**6)}" for _ in range(400))
     rows = [(i, " ".join([*(f"u{rng.randrange(10**6)}" for _ in range(50 + i)), shared])) for i in range(4)]
-    got = passages.repeated_passages(docs_of(rows)).collect()
+    got = passages.repeated_passages(docs_of(rows)).where("kind = 'paragraph'").collect()
     assert {r.doc_id for r in got} == {1, 2, 3} and sum(r.n_words for r in got if r.doc_id == 3) > 200
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 80), st.integers(0, 80), st.integers(0, 10**6))
+def test_fifty_common_words_share_an_anchored_block(before, other, seed):
+    rng = np.random.default_rng(seed)
+    draw = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    shared = draw(passages.BLOCK + passages.SPREAD - 1)
+    a, b = np.concatenate([draw(before), shared, draw(other)]), np.concatenate([draw(other), shared, draw(before)])
+    assert set(passages.anchors(a)[1].tolist()) & set(passages.anchors(b)[1].tolist())
+    assert len(passages.anchors(draw(19))[0]) == 0 and len(passages.anchors(draw(20))[0]) == 1
+
+
+def test_passages_across_lines(docs_of, monkeypatch):
+    monkeypatch.setattr(passages, "CHUNK_KEYS", 8)
+    rng = random.Random(11)
+    word = lambda: f"u{rng.randrange(10**7)}"
+    shared = [word() for _ in range(55)]
+    shared = " ".join(shared[:30]) + "\n" + " ".join(shared[30:])
+    rows = [(i, " ".join(word() for _ in range(20 + i % 9)) + " " + shared + " " + " ".join(word() for _ in range(25)) + "\n" + " ".join(word() for _ in range(30))) for i in range(40)]
+    rows += [(100 + i, " ".join(word() for _ in range(90))) for i in range(20)] + [(200, None), (201, "")]
+    got = passages.repeated_passages(docs_of(rows, extra=True).repartition(6)).where("kind = 'passage'").collect()
+    assert {r.doc_id for r in got} == set(range(1, 40)) and {r.keep_doc_id for r in got if r.doc_id == 1} == {0}
+    text = dict(rows)
+    for r in got:
+        part = text[r.doc_id].encode()[r.start : r.end].decode()
+        assert part in shared and len(part.split()) == r.n_words >= passages.BLOCK and r.keep_doc_id < r.doc_id
+
+
 def test_repeated_rows_repeat_their_paragraphs(docs_of):
     text = " ".join(f"w{i}" for i in range(40))
-    got = passages.repeated_passages(docs_of([(1, text), (2, text), (2, text), (None, text)])).collect()
+    got = passages.repeated_passages(docs_of([(1, text), (2, text), (2, text), (None, text)])).where("kind = 'paragraph'").collect()
     assert sorted((r.doc_id, r.keep_doc_id) for r in got) == [(2, 1), (2, 1)]
 
 
