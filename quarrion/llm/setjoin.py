@@ -1,23 +1,29 @@
 """N-gram Jaccard join by partition of the shingle universe.
 
 Sizes fall into bands.  If the smaller of two sets lies in a band with largest size U, a Jaccard of at least t means a
-symmetric difference of at most H = floor(U (1 - t) / t).  The band's universe is hashed into m = H + 1 segments, so
-the differences, summed over the ring of segments, average below one, and there is a segment i without a difference
-such that segments i and i + 1 together differ in at most one shingle (the cycle lemma's strong pigeonhole).
-
-The index entry of a segment is therefore its subset.  Subsets of few shingles, empty ones above all, would meet by
-chance, so they are joined with the one-deletion neighbourhood of the next segment: the next subset whole and with each
-one of its shingles left out, which two subsets share if they differ by one shingle at most.  A cost model decides, band
-by band from the corpus counts, up to which size a subset gets that neighbourhood: more entries against fewer chance
-meetings.  Both sets of a pair take the same decision, since it depends on the subset that they share.  Candidates
-are verified exactly; no link is lost and none is invented.
+symmetric difference of at most H = floor(U (1 - t) / t).  The band's universe is hashed into a ring of m = H + 1 + G
+segments.  By the cycle lemma at least G + 1 segments i of a linked pair have no difference, and such that segments i and
+i + 1 together differ in at most one shingle (a strong form of the pigeonhole principle).
+
+The index entry of a segment is its subset.  Subsets of few shingles would meet by chance, and a cost model decides, band by
+band from the corpus counts, what becomes of them by their size:
+
+* empty ones are skipped.  A set with at most G of them loses no link, since every linked pair
+  has G + 1 segments to meet in and a subset that both share is empty for both; a set with more keeps them all;
+* small ones are joined with the one-deletion neighbourhood of the next segment: the next subset whole and with each one of
+  its shingles left out, which two subsets share if they differ by one shingle at most;
+* the others stand alone.
+
+More segments and more entries stand against fewer chance meetings.  Candidates are verified exactly; no link is lost and
+none is invented.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
-from math import exp, factorial
+from math import exp, factorial, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -63,53 +69,80 @@ def bands_for(n: int, num: int, den: int) -> range:
     return range(band_of(-(-n * num // den)), band_of(n) + 1)
 
 
-def segments(band: int, num: int, den: int) -> int:
-    return bands()[band][1] * (den - num) // num + 1
+@dataclass(frozen=True)
+class Plan:
+    """How a band is indexed: segments, subsets that a set may skip, and the sizes up to which they are skipped and joined."""
+
+    m: int
+    spare: int
+    skip: int
+    join: int
+
 
+def differences(band: int, num: int, den: int) -> int:
+    """The largest symmetric difference of a linked pair whose smaller set lies in the band."""
+    return bands()[band][1] * (den - num) // num
 
-def allocate(counts: dict[int, int], num: int, den: int) -> dict[int, int]:
-    """For each band, the largest subset size that gets the next segment's one-deletion neighbourhood (-1: none)."""
+
+def plan_for(band: int, num: int, den: int, skip: int, join: int) -> Plan:
+    """Spare segments for the skipped subsets of nearly all sets: their mean number and three deviations at the band's low end."""
+    least = differences(band, num, den) + 1
+    spare = 0
+    while skip >= 0:
+        m = least + spare
+        load = bands()[band][0] / m
+        mean = m * sum(exp(-load) * load**z / factorial(z) for z in range(skip + 1))
+        if spare >= mean + 3 * sqrt(mean) or spare >= least:
+            break
+        spare += 1
+    return Plan(least + spare, spare, skip, join)
+
+
+def allocate(counts: dict[int, int], num: int, den: int) -> dict[int, Plan]:
+    """The cheapest plan for each band with so many sets; bands where only equal sets link have none."""
     out = {}
     for band, n in counts.items():
-        m = segments(band, num, den)
-        if m < 2:
+        if not differences(band, num, den):
             continue
-        load = min(sum(bands()[band]) / 2 / m, 50.0)
-        p = [exp(-load) * load**z / factorial(z) for z in range(40)]
-        near = sum((p[z] + (p[z - 1] if z else 0)) ** 2 * COMMON ** max(0, z - 1) for z in range(40))
 
-        def cost(t: int, n=n, m=m, load=load, p=p, near=near) -> float:
-            entries = n * m * (1 + load * sum(p[: t + 1]))
-            meet = sum(p[z] ** 2 * COMMON**z * (near if z <= t else 1) for z in range(40))
-            return entries + VERIFY_COST * n * n / 2 * m * meet
+        def cost(p: Plan, n=n, band=band) -> float:
+            load = min(sum(bands()[band]) / 2 / p.m, 50.0)
+            share = [exp(-load) * load**z / factorial(z) for z in range(60)]
+            near = sum((share[z] + (share[z - 1] if z else 0)) ** 2 * COMMON ** max(0, z - 1) for z in range(60))
+            entries = n * p.m * sum(share[z] * (1 + load * (z <= p.join)) for z in range(p.skip + 1, 60))
+            meet = sum(share[z] ** 2 * COMMON**z * (near if z <= p.join else 1) for z in range(p.skip + 1, 60))
+            return entries + VERIFY_COST * n * n / 2 * p.m * meet
 
-        out[band] = min(range(-1, 5), key=cost)
+        out[band] = min((plan_for(band, num, den, 0, join) for join in range(5)), key=cost)
     return out
 
 
-def signature_keys(h: np.ndarray, band: int, cheap: int, num: int, den: int) -> np.ndarray:
+def signature_keys(h: np.ndarray, band: int, plan: Plan) -> np.ndarray:
     """The index entries, as 64-bit keys, of a set (sorted distinct hashes) in a band."""
-    m = segments(band, num, den)
+    m = plan.m
     steps = np.arange(m + 1, dtype=np.uint64)
     cuts = ((steps << np.uint64(32)) + np.uint64(m - 1)) // np.uint64(m)
     cuts[-1] = 1 << 32
     at = np.searchsorted(h >> np.uint64(32), cuts)  # segments are ranges of the hash space
-    g = tv.mix(h ^ _KEY)
     sums = np.zeros(len(h) + 1, np.uint64)
+    g = tv.mix(h ^ _KEY)
     np.cumsum(g, out=sums[1:])
     subset = sums[at[1:]] - sums[at[:-1]]
     size = np.diff(at)
     base = tv.mix(subset + steps[:-1] * _SEG + np.uint64((band + 1) * int(_NEXT) & (1 << 64) - 1))
-    few = np.flatnonzero(size <= cheap)
-    if m < 2 or not len(few):
-        return base
+    small = size <= plan.skip
+    skipped = small if np.count_nonzero(small) <= plan.spare else np.zeros(m, bool)
+    few = np.flatnonzero((size <= plan.join) & ~skipped)
+    alone = base[(size > plan.join) & ~skipped]
+    if not len(few):
+        return alone
     after = (few + 1) % m
     whole = tv.mix(base[few] + tv.mix(subset[after] + _NEXT))
     n = size[after]
     start = np.repeat(at[after], n)
     member = start + np.arange(len(start)) - np.repeat(np.cumsum(n) - n, n)
     without = tv.mix(np.repeat(base[few], n) + tv.mix(np.repeat(subset[after], n) - g[member] + _NEXT))
-    return np.concatenate([base[size > cheap], whole, without])
+    return np.concatenate([alone, whole, without])
 
 
 def set_hash(h: np.ndarray) -> tuple[int, int]:
@@ -148,12 +181,12 @@ def jaccard_components(df: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     for n, (c, _) in by_size.items():
         for band in bands_for(n, num, den):
             counts[band] = counts.get(band, 0) + c
-    cheap = allocate(counts, num, den)
-    expected = sum(n * 2 * segments(b, num, den) for b, n in counts.items())
+    plans = allocate(counts, num, den)
+    expected = sum(n * 2 * plans[b].m for b, n in counts.items() if b in plans)
 
     def signatures(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, int]]:
         for i, h in enumerate(tv.shingle_sets(texts, k)):
-            keys = [signature_keys(h, b, cheap.get(b, 0), num, den) for b in (bands_for(len(h), num, den) if len(h) else ()) if segments(b, num, den) > 1]
+            keys = [signature_keys(h, b, plans[b]) for b in (bands_for(len(h), num, den) if len(h) else ()) if b in plans]
             if keys:
                 yield i, np.concatenate(keys), set_hash(h)[0]
 
