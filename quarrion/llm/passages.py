@@ -28,11 +28,11 @@ from quarrion.llm.pairing import CHUNK_KEYS, candidate_edges, verified_edges
 from quarrion.llm.setjoin import _signed, set_hash
 
 #: Words that a paragraph must have to count, words of a line that is not cut, and of a cut part at least.
-LEAST, LONGEST, PART = 25, 120, 40
+LEAST, LONGEST, PART = 30, 120, 40
 SHINGLE, NUM, DEN = 5, 80, 100
 RECALL, MOST_HASHES = 0.995, 128
 #: Words of an anchored block, and blocks of which one is an anchor: 50 words in a row always hold one.
-BLOCK, SPREAD = 20, 31
+BLOCK, SPREAD = 32, 19
 _CUT = np.uint64(31)  # a word whose hash has these bits clear may begin a part
 
 

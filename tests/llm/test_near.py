@@ -73,8 +73,8 @@ def test_shingle_hashes_follow_the_definition(text, k):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.integers(1, 90), st.integers(0, 12), st.integers(0, 12), st.integers(-1, 4), st.sampled_from([(90, 100), (80, 100), (70, 100)]), st.integers(0, 10**9))
-def test_linked_sets_always_share_a_key(common, more_a, more_b, cheap, share, seed):
+@given(st.integers(1, 90), st.integers(0, 12), st.integers(0, 12), st.sampled_from([(-1, -1), (-1, 2), (0, 0), (0, 1), (0, 4), (1, 3), (2, 2)]), st.sampled_from([(90, 100), (80, 100), (70, 100)]), st.integers(0, 10**9))
+def test_linked_sets_always_share_a_key(common, more_a, more_b, sizes, share, seed):
     num, den = share
     rng = np.random.default_rng(seed)
     h = np.unique(tv.mix(rng.integers(0, 2**63, common + more_a + more_b, dtype=np.uint64)))
@@ -84,13 +84,15 @@ def test_linked_sets_always_share_a_key(common, more_a, more_b, cheap, share, se
     if a.tolist() == b.tolist() or den * both < num * (len(a) + len(b) - both):
         return
     bands = set(setjoin.bands_for(len(a), num, den)) & set(setjoin.bands_for(len(b), num, den))
-    assert any(setjoin.segments(x, num, den) > 1 and set(setjoin.signature_keys(a, x, cheap, num, den).tolist()) & set(setjoin.signature_keys(b, x, cheap, num, den).tolist()) for x in bands)
+    plans = {x: setjoin.plan_for(x, num, den, *sizes) for x in bands if setjoin.differences(x, num, den)}
+    assert any(set(setjoin.signature_keys(a, x, p).tolist()) & set(setjoin.signature_keys(b, x, p).tolist()) for x, p in plans.items())
 
 
 def test_allocation_grows_with_the_corpus():
     bands = range(8, 20)
     small, large = (setjoin.allocate({b: n for b in bands}, 80, 100) for n in (10, 10**8))
-    assert all(small[b] <= large[b] for b in small) and max(large.values()) > min(small.values())
+    assert all(small[b].join <= large[b].join for b in small) and max(p.join for p in large.values()) > min(p.join for p in small.values())
+    assert all(p.m == setjoin.differences(b, 80, 100) + 1 + p.spare for b, p in large.items())
 
 
 @pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80)])
@@ -193,7 +195,7 @@ def test_fifty_common_words_share_an_anchored_block(before, other, seed):
     shared = draw(passages.BLOCK + passages.SPREAD - 1)
     a, b = np.concatenate([draw(before), shared, draw(other)]), np.concatenate([draw(other), shared, draw(before)])
     assert set(passages.anchors(a)[1].tolist()) & set(passages.anchors(b)[1].tolist())
-    assert len(passages.anchors(draw(19))[0]) == 0 and len(passages.anchors(draw(20))[0]) == 1
+    assert len(passages.anchors(draw(passages.BLOCK - 1))[0]) == 0 and len(passages.anchors(draw(passages.BLOCK))[0]) == 1
 
 
 def test_passages_across_lines(docs_of, monkeypatch):
