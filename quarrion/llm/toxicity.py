@@ -154,23 +154,31 @@ class Net:
         return g, dx
 
 
-def layout(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of texts whose words begin at ``first``: word numbers, which count, and each text's first window (n + 1)."""
+def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of texts whose words begin at ``first``: first words, the texts' ends, and each text's first window (n + 1)."""
     starts = [window_starts(n) for n in np.diff(first)]
     bounds = np.append(0, np.cumsum([len(s) for s in starts])).astype(np.int64)
-    at = np.concatenate([s + f for s, f in zip(starts, first[:-1], strict=True)])[:, None] + np.arange(WINDOW)
-    live = at < np.repeat(first[1:], np.diff(bounds))[:, None]
-    return np.where(live, at, 0), live, bounds
+    return np.concatenate([s + f for s, f in zip(starts, first[:-1], strict=True)]), np.repeat(first[1:], np.diff(bounds)), bounds
+
+
+def layout(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of windows (the rest of a short one points to word 0), and which count."""
+    at = starts[:, None] + np.arange(WINDOW)
+    live = at < ends[:, None]
+    return np.where(live, at, 0), live
 
 
 def worst(net: Net, words: Words, first: np.ndarray) -> np.ndarray:
-    """The largest log-odds of any window of each text."""
-    if not len(words.ids):
-        return np.full(len(first) - 1, float(net.p["b"][0]))
-    x = net.embed(words)
-    at, live, bounds = layout(first)
-    z = np.concatenate([net.forward(x, at[i : i + _WORDS // STRIDE], live[i : i + _WORDS // STRIDE]) for i in range(0, len(at), _WORDS // STRIDE)])
-    return np.maximum.reduceat(z, bounds[:-1]).astype(np.float64)
+    """The largest log-odds of any window of each text; words are embedded for a bounded number of windows at once."""
+    starts, ends, bounds = windows(first)
+    z = []
+    for i in range(0, len(starts), _WORDS // STRIDE):
+        s, e = starts[i : i + _WORDS // STRIDE], ends[i : i + _WORDS // STRIDE]
+        lo, hi = int(s[0]), int(min(e[-1], s[-1] + WINDOW))
+        part = Words(words.ids[lo:hi], words.grams[words.first[lo] : words.first[hi]], words.first[lo : hi + 1] - words.first[lo])
+        at, live = layout(s - lo, e - lo)
+        z.append(net.forward(net.embed(part) if hi > lo else np.zeros((1, 2 * DIM), np.float32), at, live))
+    return np.maximum.reduceat(np.concatenate(z), bounds[:-1]).astype(np.float64)
 
 
 def _joined(texts: list[Words]) -> tuple[Words, np.ndarray]:
@@ -223,7 +231,8 @@ def train(texts: list[Words], labels: np.ndarray, share: float, seed: int = 7) -
         return net
     own = labels[~aside].astype(np.float32)
     words, first = _joined([t for t, x in zip(texts, aside, strict=True) if not x])
-    at, live, bounds = layout(first)
+    starts, ends, bounds = windows(first)
+    at, live = layout(starts, ends)
     y = np.repeat(own, np.diff(bounds))
     steps = _Steps(net)
     weigh = lambda y: np.where(y > 0, 0.5 / max(y.mean(), 0.05), 0.5 / max(1 - y.mean(), 0.05)).astype(np.float32)

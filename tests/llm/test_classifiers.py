@@ -127,7 +127,8 @@ def test_windows_cover_all_words():
 
 def test_gradients():
     w, first = toxicity._joined([toxicity.inputs(large(t))[0] for t in ("one two three four " * 9, "five six")])
-    at, live, bounds = toxicity.layout(first)
+    starts, ends, bounds = toxicity.windows(first)
+    at, live = toxicity.layout(starts, ends)
     net = toxicity.Net.new()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     x = net.embed(w).astype(np.float64)
@@ -152,11 +153,14 @@ def test_gradients():
             assert abs((up - down) / 2e-4 - grad[i]) < 1e-5
 
 
-def test_batches_do_not_change_scores():
+@pytest.mark.parametrize("block", [1 << 15, 40])
+def test_batches_do_not_change_scores(monkeypatch, block):
+    monkeypatch.setattr(toxicity, "_WORDS", block)
     net = toxicity.Net.new()
-    texts = ["a b c " * 30, "", "x", "some other words here " * 11]
+    texts = ["a b c " * 30, "", "x", "some other words here " * 11, ""]
     words, first = toxicity.inputs(large(*texts))
     together = toxicity.worst(net, words, first)
+    monkeypatch.setattr(toxicity, "_WORDS", 1 << 15)
     alone = [toxicity.worst(net, *toxicity.inputs(large(t)))[0] for t in texts]
     assert np.allclose(together, alone, atol=1e-5)
 
