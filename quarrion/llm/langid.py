@@ -28,6 +28,8 @@ _ROWS = 64
 
 def count_ngrams(texts: pa.Array) -> np.ndarray:
     """A row of n-gram counts for each text (float32)."""
+    if len(texts) == 1 and len(parts := tv.pieces(texts)) > 1:
+        return sum(count_ngrams(p) for p in parts)
     data, offsets = tv.raw(texts)
     stream, at = tv.padded(data, offsets, tv.LETTERS)
     bounds = np.append(at, len(stream))

@@ -29,7 +29,20 @@ _REPEAT, _OFTEN = 0, 8  # the feature of a repeated word, which counts as often
 
 
 def features(texts: pa.Array):
-    """Yields (ids, text numbers' bounds) by kind: for each kind, feature ids in text order and where each text's begin."""
+    """Yields (ids, text numbers' bounds) by kind: for each kind, feature ids in text order and where each text's begin.
+
+    A long text comes alone and gives its kinds piece by piece.
+    """
+    if len(texts) == 1 and len(parts := tv.pieces(texts)) > 1:
+        last = None
+        for part in parts:
+            yield from features(part)
+            words = tv.word_hashes(tv.split(part), folded=False)
+            if len(words):
+                n = _OFTEN * int(words[0] == last)  # a word that repeats the one before the cut
+                yield np.full(n, _REPEAT, np.int64), np.array([0, n])
+                last = words[-1]
+        return
     t = tv.split(texts)
     n = len(texts)
     words = tv.word_hashes(t, folded=False)

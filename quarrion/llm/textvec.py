@@ -69,6 +69,29 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+#: Bytes of a piece of a long text.
+PIECE_BYTES = 1 << 21
+
+
+def pieces(text: pa.Array) -> list[pa.Array]:
+    """A single text, cut before spaces into pieces of PIECE_BYTES or one word; no word and no n-gram of a word is cut."""
+    data, offsets = raw(text)
+    if len(data) <= PIECE_BYTES:
+        return [text]
+    spaces = np.flatnonzero(data == 0x20)
+    cuts = [0]
+    while len(data) - cuts[-1] > PIECE_BYTES:
+        i = int(np.searchsorted(spaces, cuts[-1] + PIECE_BYTES, "right")) - 1
+        if i < 0 or spaces[i] <= cuts[-1]:
+            i += 1
+        if i == len(spaces):
+            break
+        cuts.append(int(spaces[i]))
+    ends = np.array([*cuts, len(data)], np.int64)
+    whole = pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes()))
+    return [whole.slice(i, 1) for i in range(len(cuts))]
+
+
 def split(texts: pa.Array) -> Texts:
     """Word positions of a large_string array without nulls."""
     return split_bytes(*raw(texts))

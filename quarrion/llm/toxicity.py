@@ -41,7 +41,10 @@ class Words:
 
 
 def inputs(texts: pa.Array) -> tuple[Words, np.ndarray]:
-    """The words of a chunk of texts, and each text's first word."""
+    """The words of a chunk of texts, and each text's first word; a long text, which comes alone, is read piece by piece."""
+    if len(texts) == 1 and len(parts := tv.pieces(texts)) > 1:
+        words, first = _joined([inputs(p)[0] for p in parts])
+        return words, first[[0, -1]]
     t = tv.split(texts)
     ids = (tv.word_hashes(t) >> np.uint64(64 - WORD_BITS)).astype(np.int32)
     stream, _ = tv.padded(t.data, t.offsets, tv.FOLDED)

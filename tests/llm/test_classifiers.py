@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from quarrion.llm import langid, quality, toxicity
+from quarrion.llm import textvec as tv
 from quarrion.llm.common import crc_mod
 
 
@@ -70,6 +71,20 @@ def test_language_needs_rows(docs_of):
         langid.fit(docs_of([(1, "text")]).selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang"))
 
 
+@pytest.mark.parametrize("text", ["one two two  two three\nfour " * 9, "a" * 100 + " b" * 40, " " * 200, "x" * 300, "é ü " * 50 + "tail"])
+def test_long_texts_in_pieces_give_the_same(monkeypatch, text):
+    def measures():
+        words, first = toxicity.inputs(large(text))
+        bag = np.sort(np.concatenate([x for x, _ in quality.features(large(text))]))
+        return [langid.count_ngrams(large(text)), bag, words.ids, words.grams, words.first, first]
+
+    whole = measures()
+    for size in (1, 7, 40):
+        monkeypatch.setattr(tv, "PIECE_BYTES", size)
+        assert "".join(p.to_pylist()[0] for p in tv.pieces(large(text))) == text
+        assert all(np.array_equal(a, b) for a, b in zip(whole, measures(), strict=True))
+
+
 # Quality
 
 
