@@ -36,7 +36,7 @@ from quarrion.llm.graph import components
 from quarrion.llm.pairing import candidate_edges, verified_edges
 
 #: Largest over smallest size of a band.
-BAND_RATIO = 1.5
+BAND_RATIO = 1.2
 #: A verified candidate costs as much as so many index entries; a share of pairs taken to hold any one common shingle.
 VERIFY_COST, COMMON = 20.0, 1 / 30
 _KEY, _SEG, _NEXT = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
@@ -85,14 +85,14 @@ def differences(band: int, num: int, den: int) -> int:
 
 
 def plan_for(band: int, num: int, den: int, skip: int, join: int) -> Plan:
-    """Spare segments for the skipped subsets of nearly all sets: their mean number and three deviations at the band's low end."""
+    """Spare segments for the skipped subsets of most sets: their mean number and two deviations at the band's low end."""
     least = differences(band, num, den) + 1
     spare = 0
     while skip >= 0:
         m = least + spare
         load = bands()[band][0] / m
         mean = m * sum(exp(-load) * load**z / factorial(z) for z in range(skip + 1))
-        if spare >= mean + 3 * sqrt(mean) or spare >= least:
+        if spare >= mean + 2 * sqrt(mean) or spare >= least:
             break
         spare += 1
     return Plan(least + spare, spare, skip, join)
