@@ -92,7 +92,27 @@ def mixing_sql() -> str:
     return f"WITH {', '.join(steps)} SELECT doc_id, source, lang, topic, n_tokens, rate, {draw} < rate AS kept FROM docs JOIN r USING (source, lang, topic)"
 
 
+def jaccard_sql(k: int = 3, num: int = 90, den: int = 100) -> str:
+    """All pairs by shared shingles, and the least id that recursion reaches."""
+    capitals, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    shingle = " || ' ' || ".join(f"w[i + {j}]" for j in range(k))
+    return f"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{capitals}', '{small}'), '[^ \t\n\x0B\f\r]+') AS w FROM documents
+        ), sets AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
+                                         ELSE [{shingle} FOR i IN range(1, len(w) - {k - 2})] END) AS s FROM words
+        ), items AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+        ), links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.g = b.g AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING {den} * count(*) >= {num} * (a.n + b.n - count(*))
+        ), reach AS (SELECT doc_id AS node, doc_id AS c FROM sets UNION SELECT links.b, reach.c FROM reach JOIN links ON links.a = reach.node)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(c) AS component_id FROM sets JOIN reach ON node = doc_id GROUP BY doc_id, s
+    """
+
+
 ORACLE: dict[str, str] = {
+    "op8_ngram_jaccard_join": jaccard_sql(),
     "op9_mix_sources": mixing_sql(),
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
