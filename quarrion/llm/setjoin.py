@@ -5,17 +5,16 @@ symmetric difference of at most H = floor(U (1 - t) / t).  The band's universe i
 segments.  By the cycle lemma at least G + 1 segments i of a linked pair have no difference, and such that segments i and
 i + 1 together differ in at most one shingle (a strong form of the pigeonhole principle).
 
-The index entry of a segment is its subset.  Subsets of few shingles would meet by chance, and a cost model decides, band by
-band from the corpus counts, what becomes of them by their size:
+The index entry of a segment is its subset.  Subsets of few shingles would meet by chance, so that
 
-* empty ones are skipped.  A set with at most G of them loses no link, since every linked pair
-  has G + 1 segments to meet in and a subset that both share is empty for both; a set with more keeps them all;
+* empty ones are skipped: a set with at most G of them loses no link, since every linked pair has G + 1 segments to meet in
+  and a subset that both share is empty for both.  A set with more than G keeps them all;
 * small ones are joined with the one-deletion neighbourhood of the next segment: the next subset whole and with each one of
   its shingles left out, which two subsets share if they differ by one shingle at most;
 * the others stand alone.
 
-More segments and more entries stand against fewer chance meetings.  Candidates are verified exactly; no link is lost and
-none is invented.
+Up to which size a subset counts as small is a matter of cost, more entries against fewer chance meetings, and decided for each
+band from the corpus counts.  Candidates are verified exactly; no link is lost and none is invented.
 """
 
 from __future__ import annotations
