@@ -3,13 +3,16 @@
 A text is a vector of hashed character n-grams (orders 2 to 4 inside words), weighted by sqrt(count) x idf and
 normalised.  Each language has several centroids, found by spherical k-means over a bounded sample of its texts; a
 text gets the language of the nearest centroid by cosine.  A text farther from every centroid than the rejection
-distance, which is learned from the sample's own distances, is rejected.
+distance is rejected.  That distance depends on how many different n-grams a text has, since short texts are far from
+any centroid; it is learned from texts, and short parts of them, that the centroids were not learned from: their distances
+to their own language, and to all others as if theirs had not been learned.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,12 @@ BITS, ORDERS = 14, (2, 3, 4)
 SAMPLE, CENTROIDS = 600, 3
 UNKNOWN = "und"
 _ROWS = 64
+#: Words of the parts by which the distances of short texts are learned.
+PART_WORDS = (1, 2, 4, 8, 16, 32, 64)
+#: Steps of text size (2 for each doubling of the different n-grams) and the texts of each language in one that count.
+STEPS, LEAST_TEXTS = 2, 20
+#: Share of learned languages' texts that may fall below the limit, and of other languages' that may rise above it, at either end.
+OWN_TAIL, OTHER_TAIL = 0.001, 0.99
 
 
 def count_ngrams(texts: pa.Array) -> np.ndarray:
@@ -57,7 +66,12 @@ class Model:
     idf: np.ndarray  # (grams,)
     centroids: np.ndarray  # (languages x centroids, grams), rows of length one
     owner: np.ndarray  # the language of each centroid
-    reject: float  # texts with a cosine below this are rejected
+    sizes: np.ndarray  # ascending: log2 of the different n-grams of a text
+    reject: np.ndarray  # texts of such a size with a cosine below this are rejected
+
+    def limits(self, counts: np.ndarray) -> np.ndarray:
+        """The least cosine, for each text, that is not rejected: linear between the sizes, constant beyond them."""
+        return np.interp(np.log2(np.maximum((counts > 0).sum(1), 1)), self.sizes, self.reject)
 
     def cosines(self, counts: np.ndarray) -> np.ndarray:
         """(texts, languages): the cosine to the nearest centroid of each language."""
@@ -86,6 +100,48 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
+def _parts(texts: pa.Array) -> tuple[list[int], pa.Array]:
+    """The middle PART_WORDS words of each longer text: its row, and the part."""
+    t = tv.split(texts)
+    of, parts = [], []
+    for i in range(len(t)):
+        lo, hi = int(t.first[i]), int(t.first[i + 1])
+        for n in PART_WORDS:
+            if n < hi - lo:
+                at = lo + (hi - lo - n) // 2
+                of.append(i)
+                parts.append(t.data[t.starts[at] : t.ends[at + n - 1]].tobytes().decode("utf-8", "replace"))
+    return of, pa.array(parts, pa.large_string())
+
+
+def _nearest(rows: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The cosine of each sparse row of counts to the nearest of the centroids."""
+    out = np.zeros(len(rows))
+    for j, (ids, counts) in enumerate(rows):
+        v = np.sqrt(counts) * idf[ids]
+        out[j] = (centroids[:, ids] @ v).max() / max(float(np.linalg.norm(v)), 1e-9)
+    return out
+
+
+def reject_limits(sizes: np.ndarray, own: np.ndarray, other: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, least cosines) from held-out texts: log2 of their n-grams, cosines to their own language and to all others.
+
+    Halfway between the two where they can be told apart at a size; where not, as with single words, what keeps the texts of
+    learned languages.  Without another language, half of what such texts reach.  Sizes of few texts take the next size's.
+    """
+    step = np.round(sizes * STEPS)
+    at, limits = [], []
+    for x in np.unique(step):
+        here = step == x
+        if here.sum() < min(LEAST_TEXTS, len(sizes)):
+            continue
+        low = float(np.quantile(own[here], OWN_TAIL))
+        high = 0.0 if other is None else float(np.quantile(other[here], OTHER_TAIL))
+        at.append(x / STEPS)
+        limits.append((low + high) / 2 if high < low else low)
+    return np.array(at or [0.0]), np.maximum(limits or [0.0], 0.0)
+
+
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
     """Learn from at most ``sample`` texts of each language (the bound); rows with a null language or text do not count.
 
@@ -96,47 +152,64 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     picked = rows.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang")
 
     def run(chunks):
-        for batch, texts in chunks:
+        def sparse(texts, langs, folds, part):
             for at in range(0, len(texts), _ROWS):
                 counts = count_ngrams(texts.slice(at, _ROWS))
                 used = [np.flatnonzero(r) for r in counts]
-                yield {"lang": batch.column(2).slice(at, _ROWS), "ids": [u.astype(np.int32).tobytes() for u in used], "counts": [r[u].tobytes() for r, u in zip(counts, used, strict=True)]}
+                yield {"lang": langs[at : at + _ROWS], "fold": folds[at : at + _ROWS], "part": [part] * len(used), "ids": [u.astype(np.int32).tobytes() for u in used], "counts": [r[u].tobytes() for r, u in zip(counts, used, strict=True)]}
+
+        for batch, texts in chunks:
+            langs = batch.column(2).to_pylist()
+            folds = [crc32(str(i).encode()) & 1 for i in batch.column(0).to_pylist()]
+            yield from sparse(texts, langs, folds, False)
+            for at in range(0, len(texts), _ROWS):
+                of, parts = _parts(texts.slice(at, _ROWS))
+                yield from sparse(parts, [langs[at + i] for i in of], [folds[at + i] for i in of], True)
 
-    found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for r in map_texts(picked, run, "lang string, ids binary, counts binary").toLocalIterator():
-        found.setdefault(r.lang, []).append((np.frombuffer(r.ids, np.int32), np.frombuffer(r["counts"], np.float32)))
+    found: dict[str, list[tuple[np.ndarray, np.ndarray, int]]] = {}
+    parts: dict[str, list[tuple[np.ndarray, np.ndarray, int]]] = {}
+    for r in map_texts(picked, run, "lang string, fold int, part boolean, ids binary, counts binary").toLocalIterator():
+        (parts if r.part else found).setdefault(r.lang, []).append((np.frombuffer(r.ids, np.int32), np.frombuffer(r["counts"], np.float32), r.fold))
     if not found:
         raise ValueError("no row with a language to learn from")
     langs = sorted(found)
     seen = np.zeros(1 << BITS)
     for rows_of in found.values():
-        for ids_, _ in rows_of:
+        for ids_, _, _ in rows_of:
             seen[ids_] += 1
     idf = np.log((1 + sum(map(len, found.values()))) / (1 + seen)).astype(np.float32) + 1
-    centres, owner, nearest = [], [], []
+    centres, owner, own, held = [], [], [], {}
     for i, lang in enumerate(langs):
         x = np.zeros((len(found[lang]), 1 << BITS), np.float32)
-        for j, (ids_, counts) in enumerate(sorted(found[lang], key=lambda p: p[0].tobytes() + p[1].tobytes())):
+        rows_of = sorted(found[lang], key=lambda p: p[0].tobytes() + p[1].tobytes())
+        for j, (ids_, counts, _) in enumerate(rows_of):
             x[j, ids_] = np.sqrt(counts) * idf[ids_]
         x /= np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
-        x = x[x.any(1)] if x.any() else x
-        c = _kmeans(x, centroids)
-        nearest.append((x @ c.T).max(1))
+        fold = np.array([f for _, _, f in rows_of])
+        some = x.any(1)
+        c = _kmeans(x[some] if some.any() else x, centroids)
         centres.append(c)
         owner += [i] * len(c)
-    # a quarter of the cosine of the least typical learned texts: below what one-word texts of a language reach
-    reject = 0.25 * float(np.quantile(np.concatenate(nearest), 0.001))
-    return Model(langs, idf, np.concatenate(centres), np.array(owner), max(reject, 0.0))
+        held[lang] = [[r[:2] for r in rows_of + parts.get(lang, []) if r[2] == f and len(r[0])] for f in (0, 1)]
+        for f in (0, 1):
+            rest = some & (fold != f)
+            own.append(_nearest(held[lang][f], idf, _kmeans(x[rest], centroids) if rest.any() else c))
+    whole, owners = np.concatenate(centres), np.array(owner)
+    texts = [(i, rows) for i, lang in enumerate(langs) for rows in held[lang]]
+    other = np.concatenate([_nearest(rows, idf, whole[owners != i]) for i, rows in texts]) if len(langs) > 1 else None
+    sizes = np.log2(np.array([len(r[0]) for _, rows in texts for r in rows], float))
+    return Model(langs, idf, whole, owners, *reject_limits(sizes, np.concatenate(own), other))
 
 
 def judge(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, cosine and rejection of a few texts."""
-    best = model.cosines(count_ngrams(texts))
+    counts = count_ngrams(texts)
+    best = model.cosines(counts)
     lettered = np.array([has_letter(t.as_buffer().to_pybytes()) for t in texts], bool)
     pick = best.argmax(1)
     top = np.clip(best[np.arange(len(pick)), pick], 0, 1)
     langs = [model.langs[p] if ok else UNKNOWN for p, ok in zip(pick, lettered, strict=True)]
-    return langs, np.where(lettered, top, 0.0), ~lettered | (top < model.reject)
+    return langs, np.where(lettered, top, 0.0), ~lettered | (top < model.limits(counts))
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

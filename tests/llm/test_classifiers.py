@@ -66,6 +66,26 @@ def test_far_texts_are_rejected(docs_of):
     assert got == {1: False, 2: True}
 
 
+@pytest.mark.parametrize("lang", ["de", "fr"])
+def test_an_unlearned_language_is_rejected(tables, lang):
+    docs = tables("documents")
+    learned = docs.where((crc_mod("doc_id", 3) != 1) & (docs.lang != lang))
+    model = langid.fit(learned)
+    rows = langid.identify(docs, model).join(docs.select("doc_id", "lang", "n_chars"), "doc_id").collect()
+    unlearned = [r for r in rows if r.lang == lang and r.n_chars > 100]
+    assert len(unlearned) > 10 and sum(r.rejected for r in unlearned) >= 0.9 * len(unlearned)
+    assert sum(r.rejected for r in rows if r.lang != lang) <= 0.01 * len(rows)
+    assert langid.keep_identified(docs.where(docs.lang == lang), model).where("n_chars > 100").count() <= 0.1 * len(unlearned)
+
+
+def test_limits_by_size():
+    sizes = np.repeat([3.0, 9.0], 50)
+    own, other = np.repeat([0.2, 0.8], 50), np.repeat([0.3, 0.4], 50)
+    at, limits = langid.reject_limits(sizes, own, other)
+    assert at.tolist() == [3, 9] and np.allclose(limits, [0.2, 0.6])  # single words cannot be told apart
+    assert np.allclose(langid.reject_limits(sizes, own, None)[1], [0.1, 0.4])
+
+
 def test_language_needs_rows(docs_of):
     with pytest.raises(ValueError):
         langid.fit(docs_of([(1, "text")]).selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang"))
