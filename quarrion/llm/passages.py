@@ -1,7 +1,8 @@
 """Substring dedup: near-duplicate paragraphs by MinHash banding, removed by connected components.
 
-Paragraphs are lines; a line of over LONGEST words is cut at content-defined words, so that a passage inside a long line is
-cut alike wherever it stands.  Equal paragraphs (in lower case, by words) form classes.  Each class has a MinHash of its
+Paragraphs are lines of LEAST words, and shorter lines in a row taken together; each is compared as a whole, whatever its
+length.  A paragraph of over LONGEST words is also cut at content-defined words, and its parts are compared beside it, so
+that a passage inside a long line is cut alike wherever it stands.  Equal paragraphs (in lower case, by words) form classes.  Each class has a MinHash of its
 word shingles; ``tune`` chooses bands and rows for a recall at the threshold.  Classes that share a band are joined,
 verified by the exact Jaccard of their shingles, and linked; of every component of links the first paragraph, by document
 and place, stays.
@@ -27,7 +28,7 @@ from quarrion.llm.graph import components
 from quarrion.llm.pairing import CHUNK_KEYS, candidate_edges, verified_edges
 from quarrion.llm.setjoin import _signed, set_hash
 
-#: Words that a paragraph must have to count, words of a line that is not cut, and of a cut part at least.
+#: Words that a paragraph must have to count, words of a paragraph that is not cut as well, and of a cut part at least.
 LEAST, LONGEST, PART = 30, 120, 40
 SHINGLE, NUM, DEN = 5, 80, 100
 RECALL, MOST_HASHES = 0.995, 128
@@ -49,14 +50,27 @@ def tune(similarity: float, recall: float = RECALL, most: int = MOST_HASHES) ->
 
 
 def paragraphs(t: tv.Texts, i: int, words: np.ndarray) -> list[tuple[int, int]]:
-    """(first word, end word) of the paragraphs of text i, of LEAST words at least, within its words."""
+    """(first word, end word) of the paragraphs of text i, of LEAST words at least, within its words.
+
+    Lines of fewer words are taken together up to the next longer line, or to a blank line once they have LEAST words.  A
+    paragraph of over LONGEST words comes before its parts.
+    """
     lo, hi = int(t.first[i]), int(t.first[i + 1])
     if hi - lo < LEAST:
         return []
     breaks = np.flatnonzero(t.data[t.offsets[i] : t.offsets[i + 1]] == 10) + t.offsets[i]
-    edges = np.unique(np.concatenate([[lo], np.searchsorted(t.starts[lo:hi], breaks) + lo, [hi]]))
+    edges = np.concatenate([[lo], np.searchsorted(t.starts[lo:hi], breaks) + lo, [hi]]).tolist()
+    whole, since = [], lo  # since: the first of the short lines in a row
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if b - a >= LEAST or (a == b and a - since >= LEAST):
+            whole += [(since, a), (a, b)]
+            since = b
+    whole.append((since, hi))
     out = []
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+    for a, b in whole:
+        if b - a < LEAST:
+            continue
+        out.append((a, b))
         if b - a > LONGEST:
             marks = np.flatnonzero(words[a:b] & _CUT == 0) + a
             at = a
@@ -65,9 +79,8 @@ def paragraphs(t: tv.Texts, i: int, words: np.ndarray) -> list[tuple[int, int]]:
                 to = int(after[0]) if len(after) and after[0] <= at + LONGEST else at + LONGEST
                 out.append((at, to))
                 at = to
-            a = at
-        if b - a >= LEAST:
-            out.append((a, b))
+            if b - at >= LEAST:
+                out.append((at, b))
     return out
 
 
@@ -104,8 +117,8 @@ def minhash_keys(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
     n = bands * rows
     mult, add = _PLANES[0][:n], _PLANES[1][:n]
     low = np.full(n, (1 << 64) - 1, np.uint64)
-    for at in range(0, len(h), 4096):
-        low = np.minimum(low, (h[at : at + 4096, None] * mult + add).min(0))
+    for at in range(0, len(h), 256):  # what fits a core's cache
+        low = np.minimum(low, (h[at : at + 256, None] * mult + add).min(0))
     place = np.arange(n, dtype=np.uint64) % np.uint64(rows)
     return tv.mix(np.add.reduceat(tv.mix(low + place * tv.PLACE[1]), np.arange(0, n, rows)) + np.arange(bands, dtype=np.uint64) * tv.PLACE[2])
 
@@ -219,7 +232,7 @@ def repeated_paragraphs(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den:
     """(doc_id, paragraph, start, end, n_words, keep_doc_id, keep_paragraph, component_id) of paragraphs that are not the first
     of their component; ``docs`` has doc_id (not null) and text."""
     found = stored(map_texts(docs, lambda c: _split(c, False), PARAGRAPHS), "paragraphs")
-    classes = found.groupBy("s1", "s2", "n_words").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.count(F.lit(1)).alias("size"))
+    classes = found.groupBy("s1", "s2", "n_words").agg(F.min(F.struct("doc_id", "paragraph", "start", "end")).alias("first"), F.count(F.lit(1)).alias("size"))
     classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     texts = map_texts(docs, lambda c: _split(c, True), "doc_id bigint, paragraph int, text string")
     heads = classes.select(F.col("first.doc_id").alias("doc_id"), F.col("first.paragraph").alias("paragraph"), "class")
@@ -240,7 +253,9 @@ def repeated_paragraphs(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den:
     heads = joined.groupBy("component").agg(F.min("first").alias("keep"), F.sum("size").alias("all"))
     groups = joined.join(heads.where("all > 1"), "component").select("s1", "s2", "n_words", "size", "component", "keep")
     out = join_groups(found, groups, ["s1", "s2", "n_words"], "size", total.t or 0).where(F.col("component").isNotNull())
-    out = out.where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("paragraph") != F.col("keep.paragraph")))
+    # a part that is nearly its whole paragraph links with it, and repeats nothing by that
+    apart = (F.col("end") <= F.col("keep.start")) | (F.col("start") >= F.col("keep.end"))
+    out = out.where((F.col("doc_id") != F.col("keep.doc_id")) | apart)
     return out.select("doc_id", "paragraph", "start", "end", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.paragraph").alias("keep_paragraph"), F.col("component").alias("component_id"))
 
 
@@ -251,7 +266,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind (``paragraph`` or ``passage``), doc_id, start and end (bytes of the text's UTF-8 form), n_words, keep_doc_id (an
     earlier document with it); for paragraphs also their number among the document's paragraphs of LEAST words, the
     keep_paragraph and component_id of what stays: the first by (doc_id, paragraph) of each component, so a repetition
-    within a document counts too.  The two kinds may overlap.  Null, empty and short texts and rows with a null id give no
+    within a document counts too.  The two kinds may overlap, and so do a paragraph and its parts.  Null, empty and short texts and rows with a null id give no
     rows; a row that repeats another (id and text) gives the same paragraphs again; no rows give no rows; other columns
     are not read.
     """

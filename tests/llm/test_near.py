@@ -187,6 +187,32 @@ def test_passages_inside_long_lines(docs_of):
     assert {r.doc_id for r in got} == {1, 2, 3} and sum(r.n_words for r in got if r.doc_id == 3) > 200
 
 
+def test_long_near_copies_are_found_whole(docs_of):
+    rng = random.Random(21)
+    rows, sizes = [], (150, 300, 600)
+    for n, size in enumerate(sizes):
+        base = [f"b{n}x{rng.randrange(10**6)}" for _ in range(size)]
+        near = [f"e{rng.randrange(10**6)}" if i % 50 == 25 else w for i, w in enumerate(base)]  # never 50 equal words in a row
+        a, b = shingles_of(" ".join(base), 5), shingles_of(" ".join(near), 5)
+        assert 80 * len(a | b) <= 100 * len(a & b) < 85 * len(a | b)
+        rows += [(n, " ".join(base)), (10 + n, " ".join(near))]
+    rows.append((20, " ".join(f"u{rng.randrange(10**6)}" for _ in range(125))))  # its one part is nearly the whole
+    got = passages.repeated_passages(docs_of(rows)).where("kind = 'paragraph'").collect()
+    found = {(r.doc_id, r.keep_doc_id): r for r in sorted(got, key=lambda r: r.n_words)}
+    assert set(found) == {(10, 0), (11, 1), (12, 2)}
+    assert all(found[10 + n, n].n_words == size for n, size in enumerate(sizes))
+
+
+def test_short_lines_in_a_row_are_a_paragraph(docs_of):
+    rng = random.Random(22)
+    lines = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(8)) for _ in range(6)]
+    near = [*lines[:5], lines[5].rsplit(" ", 1)[0] + " other"]
+    filler = lambda: " ".join(f"f{rng.randrange(10**6)}" for _ in range(35))
+    rows = [(1, "\n".join([filler(), *lines, "", "a", "b"])), (2, "\n".join([*near, filler()])), (3, "\n".join([filler(), "x y z"]))]
+    got = passages.repeated_passages(docs_of(rows)).where("kind = 'paragraph'").collect()
+    assert [(r.doc_id, r.keep_doc_id, r.n_words) for r in got] == [(2, 1, 48)]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(0, 80), st.integers(0, 80), st.integers(0, 10**6))
 def test_fifty_common_words_share_an_anchored_block(before, other, seed):
