@@ -5,6 +5,10 @@ every later one, so a line in n documents gives n - 1 pairs however common it is
 common one needs no cap.  Each pair is aligned by patience diff: lines that occur once in both documents anchor the
 alignment, in the longest increasing order, and the gaps between anchors are aligned the same way.  Runs of aligned lines
 that hold enough words are deleted from the later document.
+
+The first holder of a line need not hold what follows it, or may hold it in another order.  So each shortest run of lines
+that holds enough words, short and blank lines included, is looked up as well, and deleted from every document but the first
+that has it.  An aligned block of any two documents consists of such runs, so none that an earlier document holds stays.
 """
 
 from __future__ import annotations
@@ -109,10 +113,61 @@ def line_table(docs: DataFrame) -> DataFrame:
     return map_texts(docs, run, LINES)
 
 
-def aligned_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shortest_runs(lines: np.ndarray, words: np.ndarray, least: int = BLOCK_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, lines, hash) of the runs of at least so many words that are shortest for their first or for their last line.
+
+    Every line of a longer run lies in one of these within it.
+    """
+    n = len(lines)
+    sums = np.concatenate([[0], np.cumsum(words)])
+    start, end = np.arange(n), np.arange(1, n + 1)
+    to = np.searchsorted(sums, sums[:-1] + least)  # the first end that reaches the words
+    of = np.searchsorted(sums, sums[1:] - least, "right") - 1  # the last start that does
+    a = np.concatenate([start[to <= n], of[of >= 0]])
+    b = np.concatenate([to[to <= n], end[of >= 0]])
+    a, b = np.unique(np.stack([a, b], 1), axis=0).T if len(a) else (a, b)
+    up, down = tv._power(n + 1)
+    whole = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tv.mix(lines.view(np.uint64)) * up[:n])])
+    return a, b - a, tv.mix((whole[b] - whole[a]) * down[a] + (b - a).astype(np.uint64)).view(np.int64)
+
+
+def repeated_runs(known: DataFrame) -> DataFrame:
+    """(doc_id, earlier, removed): lines of each document in runs that an earlier one holds, and the runs' first holders."""
+    small_batches(known.sparkSession)
+
+    def find(batches):
+        to = arrow_schema("doc_id bigint, run bigint, first bigint, n bigint")
+        for batch in batches:
+            for i in range(batch.num_rows):
+                lines, words = (np.array(batch.column(c)[i].values, np.int64) for c in (1, 2))
+                first, n, run = shortest_runs(lines, words)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(run), batch.column(0)[i].as_py())), pa.array(run), pa.array(first), pa.array(n)], schema=to)
+
+    held = stored(known.select("doc_id", "lines", "words").mapInArrow(find, "doc_id bigint, run bigint, first bigint, n bigint"), "runs")
+    shared = held.groupBy("run").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("_last"), F.count(F.lit(1)).alias("holders")).where(F.col("earlier") < F.col("_last")).drop("_last")
+    found = join_groups(held, stored(shared, "shared_runs"), ["run"], "holders", held.count()).where(F.col("earlier") < F.col("doc_id"))
+    found = found.groupBy("doc_id").agg(F.collect_set("earlier").alias("earlier"), F.collect_list("first").alias("first"), F.collect_list("n").alias("n"))
+
+    def cover(batches):
+        to = arrow_schema("doc_id bigint, earlier array<bigint>, removed array<bigint>")
+        for batch in batches:
+            removed = []
+            for i in range(batch.num_rows):
+                first, n = (np.array(batch.column(c)[i].values, np.int64) for c in (2, 3))
+                open_ = np.zeros(int((first + n).max()) + 1, np.int64)
+                np.add.at(open_, first, 1)
+                np.add.at(open_, first + n, -1)
+                removed.append(np.flatnonzero(np.cumsum(open_)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(to.field(1).type), pa.array(removed, pa.list_(pa.int64()))], schema=to)
+
+    return found.mapInArrow(cover, "doc_id bigint, earlier array<bigint>, removed array<bigint>")
+
+
+def aligned_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
     """One row for each row: doc_id, n_lines, n_removed, removed (line numbers from 0, ascending), n_partners.
 
-    A line is removed if a patience alignment with an earlier document (a smaller id) puts it in a common block.  Lines are
+    A line is removed if a patience alignment with the first holder of one of the document's lines (a smaller id) puts it in
+    a common block; with ``runs``, also if it lies in a run of BLOCK_WORDS words that any earlier document holds.  Lines are
     cut at line feeds; a null or empty text has one empty line.  Rows with a null id, and equal ids beside the first, take no
     part in pairs beyond their id: rows that share an id are aligned as the first of them by content and are reported alike.
     No rows give no rows; other columns are not read.
@@ -129,8 +184,8 @@ def aligned_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     later = pairs.join(known, "doc_id")
     counts = pairs.groupBy("earlier").agg(F.count(F.lit(1)).alias("n"))
     first = known.select(F.col("doc_id").alias("earlier"), F.col("lines").alias("before")).join(counts, "earlier")
-    both = join_groups(later, first, ["earlier"], "n", total).select("doc_id", "lines", "words", "before")
-    schema = "doc_id bigint, removed array<bigint>"
+    both = join_groups(later, first, ["earlier"], "n", total).select("doc_id", "lines", "words", "before", "earlier")
+    schema = "doc_id bigint, earlier array<bigint>, removed array<bigint>"
 
     def align(batches):
         to = arrow_schema(schema)
@@ -138,10 +193,14 @@ def aligned_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             removed = []
             for lines, words, before in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 removed.append([n for at, k in common_blocks(patience(before, lines), words) for n in range(at, at + k)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.list_(pa.int64()))], schema=to)
+            earlier = pa.array([[e] for e in batch.column(4).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), earlier, pa.array(removed, pa.list_(pa.int64()))], schema=to)
 
     small_batches(df.sparkSession)
-    gone = both.mapInArrow(align, schema).groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"), F.count(F.lit(1)).alias("n_partners"))
+    gone = both.mapInArrow(align, schema)
+    gone = gone.unionByName(repeated_runs(known)) if runs else gone
+    together = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    gone = gone.groupBy("doc_id").agg(F.array_sort(together("removed")).alias("removed"), F.size(together("earlier")).cast("bigint").alias("n_partners"))
     out = table.select("doc_id", F.size("lines").cast("bigint").alias("n_lines")).join(gone, "doc_id", "left")
     none = F.array().cast("array<bigint>")
     removed = F.coalesce("removed", none)

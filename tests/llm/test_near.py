@@ -306,6 +306,30 @@ def test_lines_against_brute_force(docs_of):
         assert cut[r.doc_id] == (None if was is None else "\n".join(x for n, x in enumerate(was.split("\n")) if n not in r.removed) if r.n_removed else was)
 
 
+def test_blocks_of_any_two_documents_go(docs_of):
+    x, y = "five words in line x", "five words in line y"
+    rows = [(1, x), (2, y), (3, f"{x}\n{y}"), (4, f"{x}\n{y}"), (5, f"{y}\n\n{x}"), (6, "a\n{y}\n\n{x}".replace("{y}", y).replace("{x}", x))]
+    got = {r.doc_id: r for r in linediff.aligned_lines(docs_of(rows), runs=True).collect()}
+    assert {i: r.removed for i, r in got.items()} == {1: [], 2: [], 3: [], 4: [0, 1], 5: [], 6: [1, 2, 3]}
+    rng = random.Random(17)
+    pool = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(1, 9))) for _ in range(15)] + [""]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 12)))) for i in range(40)]
+    got = {r.doc_id: set(r.removed) for r in linediff.aligned_lines(docs_of(rows).repartition(3), runs=True).collect()}
+    text = {i: [" ".join(words_of(x)) for x in t.split("\n")] for i, t in rows}
+    size = lambda lines: sum(len(x.split()) for x in lines)
+    for i in text:
+        want, aligned = set(), set()
+        for e in range(i):
+            for at, n in linediff.common_blocks(linediff.patience(text[e], text[i]), [len(x.split()) for x in text[i]]):
+                aligned |= set(range(at, at + n))
+            runs = {tuple(text[e][a:b]) for a in range(len(text[e])) for b in range(a + 1, len(text[e]) + 1)}
+            for a in range(len(text[i])):
+                for b in range(a + 1, len(text[i]) + 1):
+                    if size(text[i][a:b]) >= linediff.BLOCK_WORDS and tuple(text[i][a:b]) in runs:
+                        want |= set(range(a, b))
+        assert aligned <= want == got[i]
+
+
 def test_lines_odd_rows(docs_of, odd_rows):
     got = linediff.aligned_lines(docs_of(odd_rows)).collect()
     assert len(got) == len(odd_rows) and all(r.n_lines >= 1 for r in got)
