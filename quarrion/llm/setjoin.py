@@ -116,6 +116,15 @@ def allocate(counts: dict[int, int], num: int, den: int) -> dict[int, Plan]:
     return out
 
 
+def band_counts(steps: list[tuple[int, int, int]], num: int, den: int) -> dict[int, int]:
+    """Sets of each band, from (least size, largest size, sets) of steps of size: every band that a size between may reach counts."""
+    counts: dict[int, int] = {}
+    for least, largest, c in steps:
+        for band in range(bands_for(least, num, den).start, bands_for(largest, num, den).stop):
+            counts[band] = counts.get(band, 0) + c
+    return counts
+
+
 def signature_keys(h: np.ndarray, band: int, plan: Plan) -> np.ndarray:
     """The index entries, as 64-bit keys, of a set (sorted distinct hashes) in a band."""
     m = plan.m
@@ -175,11 +184,8 @@ def jaccard_components(df: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     sets = stored(map_texts(docs, measure, "doc_id bigint, n bigint, s1 bigint, s2 bigint"), "sets")
     real = sets.where("n > 0 and doc_id is not null")
     classes = stored(real.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "classes")
-    by_size = {r.n: (r.c, r.t) for r in classes.groupBy(F.floor(F.log(1.05, "n")).alias("step")).agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("c"), F.sum("size").alias("t")).toLocalIterator()}  # a row for each 5 % of size
-    counts: dict[int, int] = {}
-    for n, (c, _) in by_size.items():
-        for band in bands_for(n, num, den):
-            counts[band] = counts.get(band, 0) + c
+    steps = list(classes.groupBy(F.floor(F.log(1.05, "n")).alias("step")).agg(F.min("n").alias("least"), F.max("n").alias("largest"), F.count(F.lit(1)).alias("c"), F.sum("size").alias("t")).toLocalIterator())  # a row for each 5 % of size
+    counts = band_counts([(r.least, r.largest, r.c) for r in steps], num, den)
     plans = allocate(counts, num, den)
     expected = sum(n * 2 * plans[b].m for b, n in counts.items() if b in plans)
 
@@ -189,7 +195,7 @@ def jaccard_components(df: DataFrame, k: int = 3, num: int = 90, den: int = 100,
             if keys:
                 yield i, np.concatenate(keys), set_hash(h)[0]
 
-    total = sum(t for _, t in by_size.values())
+    total = sum(r.t for r in steps)
     members = join_groups(sets, classes.where("size > 1"), ["n", "s1", "s2"], "size", total).select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("size", F.lit(1).cast("bigint")).alias("size"))
     members = stored(members, "members")
     edges = candidate_edges(docs.where("doc_id is not null"), signatures, expected)

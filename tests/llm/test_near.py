@@ -95,6 +95,13 @@ def test_allocation_grows_with_the_corpus():
     assert all(p.m == setjoin.differences(b, 80, 100) + 1 + p.spare for b, p in large.items())
 
 
+@pytest.mark.parametrize("num", [80, 90, 95, 98])
+def test_every_size_of_a_step_has_its_bands(num):
+    for least, largest in ((1327, 1367), (40, 41), (500, 524)):
+        counts = setjoin.band_counts([(least, largest, 3)], num, 100)
+        assert {b for n in range(least, largest + 1) for b in setjoin.bands_for(n, num, 100)} <= set(counts)
+
+
 @pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80)])
 def test_join_against_brute_force(docs_of, k, num):
     rng = random.Random(k)
