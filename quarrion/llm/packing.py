@@ -28,24 +28,27 @@ RANKED = 100_000
 
 @cache
 def encoder(path: str):
-    """A fast encoder with the vocabulary and merges of a byte-level BPE ``tokenizers`` file; its ids are the same.
+    """A fast encoder with the vocabulary, merges and added tokens of a byte-level BPE ``tokenizers`` file; its ids are the same.
 
     In such a file the merges are numbered in their order, after the single bytes, so ids serve as merge ranks.
     """
     import tiktoken
 
-    model = json.load(open(path, encoding="utf-8"))["model"]
+    file = json.load(open(path, encoding="utf-8"))
+    model, added = file["model"], {t["content"]: t["id"] for t in file["added_tokens"]}
+    if any(t[flag] for t in file["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")) or any(a != b and a in b for a in added for b in added):
+        raise ValueError(f"{path}: added tokens that take in their surroundings or hold each other are not supported")
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
     merged = {"".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if len(token) == 1 or token in merged}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed: the byte-level pre-tokenizer's
-    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
 
 
 def token_ids(path: str, text: str) -> np.ndarray:
-    """A document's ids with the closing id; strings of special tokens are ordinary text."""
-    return np.append(encoder(path).encode_to_numpy(text, disallowed_special=()), END).astype("<u4")
+    """A document's ids with the closing id; an added token's string has its one id, as ``tokenizers`` gives by default."""
+    return np.append(encoder(path).encode_to_numpy(text, allowed_special="all"), END).astype("<u4")
 
 
 def cut(n: int, most: int) -> list[tuple[int, int]]:

@@ -14,19 +14,18 @@ from quarrion.llm.queries import tokenizer_path
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path())
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(max_size=80))
+@given(st.lists(st.one_of(st.text(max_size=30), st.sampled_from(["<|endoftext|>", "<|endoftext|", " ", "|>", "\n\n"])), max_size=6).map("".join))
 def test_ids_are_those_of_tokenizers(tokenizer, text):
     assert packing.token_ids(tokenizer_path(), text)[:-1].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_ids_of_special_strings_and_long_runs(tokenizer):
-    for text in ("<|endoftext|>", " a  b \n\n c\t", "x" * 5000, "1234567890 don't we'll", "　\x1c\x85 z", ""):
+    assert packing.token_ids(tokenizer_path(), "<|endoftext|>").tolist() == [50256, 0]
+    for text in ("<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>  z", "x<|endoftext|", " a  b \n\n c\t", "x" * 5000, "1234567890 don't we'll", "　\x1c\x85 z", ""):
         assert packing.token_ids(tokenizer_path(), text)[:-1].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -76,7 +75,7 @@ def test_cut():
 
 def test_pack_against_brute_force(docs_of, odd_rows, tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "RANKED", 20)
-    rows = [r for r in odd_rows if r[0] != 7] + [(100 + i, "some words " * (i % 37)) for i in range(150)]
+    rows = [r for r in odd_rows if r[0] != 7] + [(50, "one <|endoftext|> two<|endoftext|>")] + [(100 + i, "some words " * (i % 37)) for i in range(150)]
     got = packing.pack(docs_of(rows, extra=True), tokenizer_path(), 64, with_ids=True)
     by_doc, by_bin = {}, {}
     for r in got.collect():
@@ -104,3 +103,14 @@ def test_repeated_rows_and_empty_table(docs_of):
     got = packing.pack(df, tokenizer_path(), 16).collect()
     assert len(got) == 4 and len({(r.sequence_id, r.offset) for r in got}) == 4
     assert packing.pack(df.limit(0), tokenizer_path(), 16).collect() == []
+
+
+def test_added_tokens_with_flags_are_refused(tmp_path):
+    import json
+
+    file = json.load(open(tokenizer_path(), encoding="utf-8"))
+    file["added_tokens"][0]["lstrip"] = True
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(file))
+    with pytest.raises(ValueError, match="surroundings"):
+        packing.token_ids(str(path), "a")
