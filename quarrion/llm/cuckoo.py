@@ -12,6 +12,7 @@ partition however large the group is, and one index for each hash bucket of the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -112,13 +113,27 @@ class DigestIndex:
         return value
 
     def put(self, digest: bytes, value: tuple) -> None:
+        """Add a digest or replace its value; the store is looked at only if the filter says that the key may be there."""
         key = self.key(digest)
-        bucket = self.content.get(key)
-        if bucket is None:
-            self.content[key] = {digest: value}
-            self._index(key)
-        else:  # the key is in the filter already
+        if self.filter.contains(key) and (bucket := self.content.get(key)) is not None:
             bucket[digest] = value
+        else:
+            self.add(digest, value)
+
+    def add(self, digest: bytes, value: tuple) -> None:
+        """Add a digest whose key the filter does not hold, without a look at the store."""
+        key = self.key(digest)
+        self.content[key] = {digest: value}
+        self._index(key)
+
+    def evict(self, n: int) -> list[tuple[bytes, tuple]]:
+        """Take out the n digests that were added first."""
+        out = []
+        for digest, value in islice(self.items(), n):
+            out.append((digest, value))
+        for digest, _ in out:
+            self.remove(digest)
+        return out
 
     def remove(self, digest: bytes) -> bool:
         """A deleted digest is no longer live: the next text with it counts as new."""
@@ -152,17 +167,15 @@ class DigestIndex:
             yield from bucket.items()
 
 
-#: Digests that a map-side index holds before it gives its partial rows on and starts anew: a bound on memory only,
-#: as partial rows of one digest meet again after the shuffle.
-MAP_DIGESTS = 250_000
+#: Live digests of a map-side index: beyond, the older half is given on and deleted.  A bound on memory only, as partial
+#: rows of one digest meet again after the shuffle.  And rows of a merging task to aim at.
+MAP_DIGESTS, TASK_ROWS = 250_000, 500_000
 
 
 def _merge(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[pa.RecordBatch]:
-    index = DigestIndex()
-    held = 0
+    index, live = DigestIndex(), 0
 
-    def out(index: DigestIndex) -> Iterator[pa.RecordBatch]:
-        rows = list(index.items())
+    def out(rows: list[tuple[bytes, tuple]]) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(rows), 10_000):
             part = rows[at : at + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.binary()), pa.array([v[0] for _, v in part], pa.int64()), pa.array([v[1] for _, v in part], pa.int64())], ["digest", "keep_id", "group_size"])
@@ -172,22 +185,26 @@ def _merge(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[pa.
             found = index.get(digest)
             if found is None:
                 index.put(digest, (doc, n))
-                held += 1
+                live += 1
             else:
                 kept = found[0] if doc is None else doc if found[0] is None else max(found[0], doc)
                 index.put(digest, (kept, found[1] + n))
-        if limit and held >= limit:
-            yield from out(index)
-            index, held = DigestIndex(), 0
-    yield from out(index)
+        if limit and live > limit:
+            yield from out(index.evict(live - limit // 2))
+            live = limit // 2
+    yield from out(list(index.items()))
 
 
-def merge_digests(rows: DataFrame) -> DataFrame:
-    """(digest, keep_id, group_size) of rows with these columns: the largest id and the total size of each digest."""
+def merge_digests(rows: DataFrame, total: int) -> DataFrame:
+    """(digest, keep_id, group_size) of ``total`` rows with these columns: the largest id and the total size of each digest.
+
+    A merging task gets about TASK_ROWS rows at most, however many there are.
+    """
     schema = "digest binary, keep_id bigint, group_size bigint"
     small_batches(rows.sparkSession)
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_ROWS + 1)
     partial = rows.select("digest", "keep_id", "group_size").mapInArrow(lambda b: _merge(b, MAP_DIGESTS), schema)
-    return partial.repartition("digest").mapInArrow(lambda b: _merge(b, None), schema)
+    return partial.repartition(tasks, "digest").mapInArrow(lambda b: _merge(b, None), schema)
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Column | None = None) -> DataFrame:
@@ -200,8 +217,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     """
     text = F.coalesce(df[text_col].cast("string") if normalise is None else normalise, F.lit(""))
     digests = stored(df.select(df[id_col].cast("bigint").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest")), "digests")
-    groups = stored(merge_digests(digests.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"))), "groups")
-    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    total = digests.count()
+    groups = stored(merge_digests(digests.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size")), total), "groups")
     # copies of a text get the group's row; the rest are groups of one and need no join
     found = join_groups(digests, groups.where("group_size > 1"), ["digest"], "group_size", total)
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
@@ -211,8 +228,25 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     )
 
 
-def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose text stays, with all their columns; ids must be unique to tell rows apart."""
-    flag = free_name(df.columns, "_dropped_id")
-    gone = exact_dedup(df, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(flag))
-    return df.join(gone.hint("merge"), df[id_col] == gone[flag], "left_anti")  # ids grow with the data: never broadcast
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Column | None = None) -> DataFrame:
+    """The rows of ``df`` whose text stays, with all their columns: exactly one row of each text.
+
+    Ids need not be unique: a row goes by its id and its text together.  Of rows that repeat both, the one with the least
+    other columns stays, and so does one row of a text that only has null ids.  A null text counts as empty.  No rows give
+    no rows.
+    """
+    names = [free_name(df.columns, n) for n in ("_id", "_sha256")]
+    text = F.coalesce(df[text_col].cast("string") if normalise is None else normalise, F.lit(""))
+    rows = df.withColumns({names[0]: df[id_col].cast("bigint"), names[1]: F.unhex(F.sha2(text, 256))})
+    found = exact_dedup(df, id_col, text_col, normalise).where("group_size > 1")
+    found = stored(found.select("kept", F.col("doc_id").alias(names[0] + "d"), F.unhex("text_sha256").alias(names[1] + "d")), "copies")
+    same = lambda other: rows[names[0]].eqNullSafe(other[names[0] + "d"]) & (rows[names[1]] == other[names[1] + "d"])
+    gone = found.where("not kept").select(names[0] + "d", names[1] + "d").distinct()
+    again = found.where("kept").groupBy(names[0] + "d", names[1] + "d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    gone, again = (x.hint("merge") for x in (gone, stored(again, "repeated")))  # ids grow with the data: never broadcast
+    if again.isEmpty():
+        return rows.join(gone, same(gone), "left_anti").select(*df.columns)
+    both = gone.unionByName(again)
+    pick = F.any_value if any("map<" in kind or kind == "variant" for _, kind in df.dtypes) else F.min  # maps have no order
+    one = rows.join(again, same(again), "left_semi").groupBy(*names).agg(pick(F.struct(*(df[c] for c in df.columns))).alias(names[0] + "r"))
+    return rows.join(both, same(both), "left_anti").select(*df.columns).unionByName(one.select(f"{names[0]}r.*"))

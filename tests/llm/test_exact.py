@@ -74,6 +74,27 @@ def test_hot_groups_and_small_batches(docs_of, monkeypatch):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows)
 
 
+def test_eviction_keeps_the_index_bounded():
+    index = cuckoo.DigestIndex()
+    digests = [hashlib.sha256(str(i).encode()).digest() for i in range(100)]
+    for i, d in enumerate(digests):
+        index.add(d, (i, 1))
+    assert [v for _, v in index.evict(60)] == [(i, 1) for i in range(60)] and index.filter.size == 40
+    assert all(index.get(d) is None for d in digests[:60]) and all(index.get(d) for d in digests[60:])
+
+
+def test_copies_with_ids_that_repeat(docs_of):
+    rows = [(7, "a"), (7, "b"), (9, "a"), (9, "a"), (None, "c"), (None, "c"), (None, "a"), (None, None), (3, ""), (5, "d", "en", "x"), (5, "d", "de", "x")]
+    left = cuckoo.drop_copies(docs_of(rows, extra=True))
+    assert sorted(map(repr, left.select("doc_id", "text").collect())) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in [(7, "b"), (9, "a"), (None, "c"), (3, ""), (5, "d")])
+    assert [r.lang for r in left.where("doc_id = 5").collect()] == ["de"] and left.columns == docs_of(rows, extra=True).columns
+
+
+def test_hot_copies_that_share_an_id(docs_of):
+    rows = [(1, "same")] * 300 + [(2, f"t{i % 7}") for i in range(70)]
+    assert sorted(r.text for r in cuckoo.drop_copies(docs_of(rows)).collect()) == sorted(["same", *(f"t{i}" for i in range(7))])
+
+
 def test_drop_copies_and_empty_table(docs_of):
     df = docs_of([(1, "a"), (2, "a"), (3, None), (4, ""), (5, "b")], extra=True)
     left = cuckoo.drop_copies(df)
