@@ -3,7 +3,10 @@
 ``parse`` walks the variable-length EBML elements of a file held in memory and returns its tracks, its cue points
 and a packet table: one entry per frame with track, timestamp, key flag, lacing and the byte range in the file.
 No payload is copied.  Segments and clusters of unknown size, Void and CRC-32 elements, SimpleBlocks, BlockGroups
-and all four lacings (none, Xiph, fixed-size, EBML) are read; a truncated or broken file raises ``MatroskaError``.
+and all four lacings (none, Xiph, fixed-size, EBML) are read; a truncated or broken file raises ``MatroskaError``, and so
+do numbers of over eight bytes, times that no 64-bit count of nanoseconds holds, and floats that are not finite.
+A track's content encodings (compression, header stripping, encryption) are reported, and its byte ranges are those of the
+frames as stored.
 
 ``packets`` maps a table's media column to packet rows.  Null media give no rows, empty or broken media give one row
 with a null packet and the reason in ``error``; extra columns are not read, so their names cannot clash.
@@ -11,6 +14,7 @@ with a null packet and the reason in ``error``; extra columns are not read, so t
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,6 +35,8 @@ TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID
 DEFAULT_DURATION, AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0x23E383, 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, CLUSTER_TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE_BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
+CONTENT_ENCODINGS, CONTENT_ENCODING, CONTENT_COMPRESSION, COMPRESSION_ALGORITHM, CONTENT_ENCRYPTION = 0x6D80, 0x6240, 0x5034, 0x4254, 0x5035
+ALGORITHMS = {0: "zlib", 1: "bzlib", 2: "lzo1x", 3: "header stripping"}
 SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS = 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
 
@@ -51,6 +57,7 @@ class Track:
     channels: int = 1
     bits: int = 0
     frame_ns: int = 0
+    encodings: list[str] = field(default_factory=list)  # in file order
 
 
 @dataclass
@@ -88,13 +95,25 @@ def _vint(b: bytes, at: int, end: int, keep_marker: bool) -> tuple[int, int, boo
 
 
 def _uint(b: bytes, at: int, end: int) -> int:
+    if end - at > 8:
+        raise MatroskaError(f"an integer of {end - at} bytes at byte {at}")
     return int.from_bytes(b[at:end], "big")
 
 
+def _ns(x: float, at: int) -> int:
+    """A time in nanoseconds, in the range of a 64-bit integer."""
+    if not math.isfinite(x) or abs(x) >= 1 << 63:
+        raise MatroskaError(f"the time of a block or cue is out of range at byte {at}")
+    return round(x)
+
+
 def _float(b: bytes, at: int, end: int) -> float:
     if end - at not in (0, 4, 8):
         raise MatroskaError(f"a float of {end - at} bytes at byte {at}")
-    return 0.0 if end == at else struct.unpack(">f" if end - at == 4 else ">d", b[at:end])[0]
+    x = 0.0 if end == at else struct.unpack(">f" if end - at == 4 else ">d", b[at:end])[0]
+    if not math.isfinite(x):
+        raise MatroskaError(f"a float is not finite at byte {at}")
+    return x
 
 
 def elements(b: bytes, at: int, end: int, stop: set[int] | None = None) -> Iterator[tuple[int, int, int, int]]:
@@ -165,10 +184,12 @@ def _block(b: bytes, at: int, end: int, media: Media, cluster: int, base: int, s
     track = media.tracks.get(number)
     step = duration * media.scale // len(frames) if duration is not None else track.frame_ns if track else 0
     when = (base + relative) * media.scale
+    pcm = track is not None and track.bits and track.codec.startswith("A_PCM") and track.rate > 0 and not track.encodings
     for offset, length in frames:
+        when = _ns(when, at)
         media.packets.append(Packet(number, cluster, when, bool(flags & 0x80) if simple else key, lacing, offset, length))
-        if track and track.bits and track.codec.startswith("A_PCM") and track.rate > 0:  # PCM frames say how long they are
-            when += round(length * 8 / (track.bits * max(1, track.channels)) * 1e9 / track.rate)
+        if pcm:  # such frames say how long they are
+            when += _ns(length * 8 / (track.bits * max(1, track.channels)) * 1e9 / track.rate, at)
         else:
             when += step
 
@@ -192,9 +213,21 @@ def _track(b: bytes, at: int, end: int) -> Track:
                     t.channels = _uint(b, s2, e2)
                 elif k == BIT_DEPTH:
                     t.bits = _uint(b, s2, e2)
+        elif kind == CONTENT_ENCODINGS:
+            t.encodings += [_encoding(b, s2, e2) for k, _, s2, e2 in elements(b, s, e) if k == CONTENT_ENCODING]
     return t
 
 
+def _encoding(b: bytes, at: int, end: int) -> str:
+    for kind, _, s, e in elements(b, at, end):
+        if kind == CONTENT_ENCRYPTION:
+            return "encryption"
+        if kind == CONTENT_COMPRESSION:
+            algorithm = next((_uint(b, x, y) for k, _, x, y in elements(b, s, e) if k == COMPRESSION_ALGORITHM), 0)
+            return ALGORITHMS.get(algorithm, f"algorithm {algorithm}")
+    return ALGORITHMS[0]  # the defaults
+
+
 def parse(b: bytes) -> Media:
     """Tracks, cues and packets of a Matroska file."""
     media, seen, doc_type = Media(), False, ""
@@ -251,7 +284,7 @@ def _segment(b: bytes, at: int, end: int, media: Media) -> None:
                     for i, _, x, y in inner:
                         if i == CUE_TRACK_POSITIONS:
                             p = {k3: _uint(b, x3, y3) for k3, _, x3, y3 in elements(b, x, y)}
-                            media.cues.append((when * media.scale, p.get(CUE_TRACK, 0), at + p.get(CUE_CLUSTER_POSITION, 0)))
+                            media.cues.append((_ns(when * media.scale, x), p.get(CUE_TRACK, 0), at + p.get(CUE_CLUSTER_POSITION, 0)))
 
 
 # Writing
@@ -323,34 +356,47 @@ def read_track(b: bytes, media: Media, track: int) -> bytes:
 
 # Tables
 
-PACKETS = "packet int, track int, codec string, cluster int, timestamp_ns bigint, is_key boolean, lacing int, byte_offset bigint, byte_length bigint, error string"
+PACKETS = "packet int, track bigint, codec string, encodings string, cluster int, timestamp_ns bigint, is_key boolean, lacing int, byte_offset bigint, byte_length bigint, error string"
+
+
+_PACKETS = pa.schema([("doc_id", pa.int64()), ("packet", pa.int32()), ("track", pa.int64()), ("codec", pa.string()), ("encodings", pa.string()), ("cluster", pa.int32()), ("timestamp_ns", pa.int64()), ("is_key", pa.bool_()), ("lacing", pa.int32()), ("byte_offset", pa.int64()), ("byte_length", pa.int64()), ("error", pa.string())])
+
+
+def packet_rows(doc: int | None, b: bytes) -> Iterator[pa.RecordBatch]:
+    """The packet table of one file, or one row with the reason why it has none."""
+    try:
+        m = parse(b)
+        kinds = {n: (t.codec, ", ".join(t.encodings) or None) for n, t in m.tracks.items()}
+        rows = [(doc, i, p.track, *kinds.get(p.track, (None, None)), p.cluster, p.timestamp_ns, p.key, p.lacing, p.offset, p.length, None) for i, p in enumerate(m.packets)]
+    except MatroskaError as e:
+        rows = [(doc, *[None] * 10, str(e))]
+    for at in range(0, len(rows), 4096):
+        part = rows[at : at + 4096]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], f.type) for i, f in enumerate(_PACKETS)], schema=_PACKETS)
 
 
 def packets(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """The packet table of a binary column: one row for each frame, keyed by ``doc_id`` (the id column's value)."""
+    """The packet table of a binary column: one row for each frame, keyed by ``doc_id`` (the id column's value).
+
+    ``encodings`` names the content encodings of the packet's track, null without any.  Null media give no rows, broken
+    ones a row with an ``error``; null ids and repeated rows are kept as they are; no rows give no rows.
+    """
     small_batches(df.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("packet", pa.int32()), ("track", pa.int32()), ("codec", pa.string()), ("cluster", pa.int32()), ("timestamp_ns", pa.int64()), ("is_key", pa.bool_()), ("lacing", pa.int32()), ("byte_offset", pa.int64()), ("byte_length", pa.int64()), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if not blob.is_valid:
-                    continue
-                b = blob.as_buffer().to_pybytes()
-                try:
-                    m = parse(b)
-                    rows = [(doc, i, p.track, m.tracks[p.track].codec if p.track in m.tracks else None, p.cluster, p.timestamp_ns, p.key, p.lacing, p.offset, p.length, None) for i, p in enumerate(m.packets)]
-                except MatroskaError as e:
-                    rows = [(doc, *[None] * 9, str(e))]
-                for at in range(0, len(rows), 4096):
-                    part = rows[at : at + 4096]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], f.type) for i, f in enumerate(schema)], schema=schema)
+                if blob.is_valid:
+                    yield from packet_rows(doc, blob.as_buffer().to_pybytes())
 
     return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(media_col).cast("binary").alias("media")).mapInArrow(run, f"doc_id bigint, {PACKETS}")
 
 
 def mux_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, media): each text's UTF-8 bytes, padded with zeros to a positive multiple of 64, as a Matroska file."""
+    """(doc_id, media): each text's UTF-8 bytes, padded with zeros to a positive multiple of 64, as a Matroska file.
+
+    A null text counts as empty; null ids and repeated rows are kept as they are; no rows give no rows.
+    """
 
     def run(chunks):
         for batch, texts in chunks:

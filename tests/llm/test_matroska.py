@@ -72,15 +72,41 @@ def test_damage_raises_its_own_error():
             m.parse(wrong)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.integers(0, 400), st.integers(0, 255))
-def test_any_flipped_byte_parses_or_raises(at, value):
-    b = bytearray(hand_made())
-    b[at % len(b)] = value
-    try:
-        m.parse(bytes(b))
-    except m.MatroskaError:
-        pass
+@settings(max_examples=400, deadline=None)
+@given(st.booleans(), st.lists(st.tuples(st.integers(0, 2000), st.one_of(st.integers(0, 255).map(lambda x: bytes([x])), st.sampled_from([b"\xff" * 8, b"\x80" + b"\0" * 7, b"\0" * 7 + b"\1", b"\x7f\xf0" + b"\0" * 6]))), min_size=1, max_size=4))
+def test_any_damage_gives_rows_or_an_error(pcm, changes):
+    b = bytearray(m.write_pcm(m.payload_of(b"some text " * 20)) if pcm else hand_made())
+    for at, new in changes:
+        at %= len(b)
+        b[at : at + len(new)] = new[: len(b) - at]
+    rows = [r for batch in m.packet_rows(1, bytes(b)) for r in batch.to_pylist()]
+    assert all((r["error"] is None) == (r["packet"] is not None) for r in rows)
+
+
+def one_track(track=b"", base=0, scale=1_000_000, block=b"data", lead=b""):
+    entry = m.element(m.TRACK_ENTRY, m.uint(m.TRACK_NUMBER, 1) + m.element(m.CODEC_ID, b"A_PCM/INT/LIT") + track)
+    cluster = m.element(m.CLUSTER, lead + m.uint(m.CLUSTER_TIMESTAMP, base) + m.element(m.SIMPLE_BLOCK, m.vint(1) + struct.pack(">hB", 0, 0x80 | m.FIXED << 1) + m.lace([block, block], m.FIXED)))
+    return m.element(m.EBML, m.element(m.DOC_TYPE, b"webm")) + m.element(m.SEGMENT, m.element(m.INFO, m.uint(m.TIMESTAMP_SCALE, scale)) + m.element(m.TRACKS, entry) + cluster)
+
+
+def audio(rate):
+    return m.element(m.AUDIO, m.element(m.SAMPLING_FREQUENCY, struct.pack(">d", rate)) + m.uint(m.BIT_DEPTH, 8))
+
+
+@pytest.mark.parametrize("b", [one_track(base=1 << 63), one_track(base=1 << 40, scale=1 << 40), one_track(audio(5e-324)), one_track(audio(float("nan"))), one_track(audio(float("inf"))), one_track(lead=m.element(m.CLUSTER_TIMESTAMP, b"\1" * 9))])
+def test_numbers_out_of_range_are_errors(b, spark):
+    rows = [r for batch in m.packet_rows(7, b) for r in batch.to_pylist()]
+    assert len(rows) == 1 and rows[0]["error"] and rows[0]["doc_id"] == 7
+    got = m.packets(spark.createDataFrame([(7, b), (8, one_track())], "doc_id bigint, media binary"), "doc_id", "media").collect()
+    assert sorted((r.doc_id, r.error is None) for r in got) == [(7, False), (8, True), (8, True)]
+
+
+def test_content_encodings_are_reported():
+    encoding = lambda body: m.element(m.CONTENT_ENCODINGS, m.element(m.CONTENT_ENCODING, body))
+    for body, want in ((m.element(m.CONTENT_COMPRESSION, m.uint(m.COMPRESSION_ALGORITHM, 3)), "header stripping"), (m.element(m.CONTENT_COMPRESSION, b""), "zlib"), (m.element(m.CONTENT_ENCRYPTION, b""), "encryption"), (m.element(m.CONTENT_COMPRESSION, m.uint(m.COMPRESSION_ALGORITHM, 9)), "algorithm 9")):
+        rows = [r for batch in m.packet_rows(1, one_track(encoding(body) + audio(8000.0))) for r in batch.to_pylist()]
+        assert [r["encodings"] for r in rows] == [want, want] and rows[1]["timestamp_ns"] == rows[0]["timestamp_ns"]
+    assert [r["encodings"] for batch in m.packet_rows(1, one_track()) for r in batch.to_pylist()] == [None, None]
 
 
 def test_features_of_texts(docs_of, odd_rows):
