@@ -25,6 +25,8 @@ from quarrion.llm.common import bounded_sample, map_texts, slim, small_batches,
 BITS, ORDERS = 14, (2, 3, 4)
 #: Texts of each language that a model learns from at most, and centroids of a language.
 SAMPLE, CENTROIDS = 600, 3
+#: Languages that a model may know: a bound on its size, 200 KB for each.
+MOST_LANGS = 400
 UNKNOWN = "und"
 _ROWS = 64
 #: Words of the parts by which the distances of short texts are learned.
@@ -145,11 +147,16 @@ def reject_limits(sizes: np.ndarray, own: np.ndarray, other: np.ndarray | None)
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
     """Learn from at most ``sample`` texts of each language (the bound); rows with a null language or text do not count.
 
-    Texts are counted on the executors; the driver gets their sparse counts, bounded by the sample and 2^BITS.
+    Texts are counted on the executors; the driver gets their sparse counts, bounded by the sample and 2^BITS.  Of rows that
+    share an id and a language one is learned from, the least by its text.  Without any row to learn from the model knows no
+    language and rejects every text.  More than MOST_LANGS languages are an error: the model is held whole on each executor.
     """
     rows = df.select(df[id_col].cast("bigint").alias("doc_id"), df[lang_col].cast("string").alias("lang"), df[text_col].cast("string").alias("text")).where("lang is not null and text is not null")
     ids = bounded_sample(rows.select("doc_id", "lang"), "doc_id", sample, "lang")
-    picked = rows.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang")
+    if (n := ids.select("lang").distinct().count()) > MOST_LANGS:
+        raise ValueError(f"{n} languages to learn, at most {MOST_LANGS} are held")
+    picked = rows.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
+    picked = picked.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "text", "lang")
 
     def run(chunks):
         def sparse(texts, langs, folds, part):
@@ -170,9 +177,9 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     parts: dict[str, list[tuple[np.ndarray, np.ndarray, int]]] = {}
     for r in map_texts(picked, run, "lang string, fold int, part boolean, ids binary, counts binary").toLocalIterator():
         (parts if r.part else found).setdefault(r.lang, []).append((np.frombuffer(r.ids, np.int32), np.frombuffer(r["counts"], np.float32), r.fold))
-    if not found:
-        raise ValueError("no row with a language to learn from")
     langs = sorted(found)
+    if not langs:
+        return Model([], np.ones(1 << BITS, np.float32), np.zeros((0, 1 << BITS), np.float32), np.zeros(0, np.int64), np.zeros(1), np.zeros(1))
     seen = np.zeros(1 << BITS)
     for rows_of in found.values():
         for ids_, _, _ in rows_of:
@@ -204,6 +211,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
 def judge(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, cosine and rejection of a few texts."""
     counts = count_ngrams(texts)
+    if not model.langs:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
     best = model.cosines(counts)
     lettered = np.array([has_letter(t.as_buffer().to_pybytes()) for t in texts], bool)
     pick = best.argmax(1)
@@ -230,17 +239,26 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return map_texts(slim(df, id_col, text_col), run, "doc_id bigint, lang_pred string, score double, rejected boolean")
 
 
-def keep_identified(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that are not rejected, with all their columns; batches are filtered in place, nothing is shuffled."""
+def keep_identified(df: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = None) -> DataFrame:
+    """The rows of ``df`` that are not rejected, with all their columns; batches are filtered in place, nothing is shuffled.
+
+    If ``lang_col`` names a column of strings, it holds the identified language in the rows that stay.  Null and empty texts
+    and those without a letter go; repeated rows stay or go alike; no rows give no rows.
+    """
     small_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)
     names, at = df.columns, df.columns.index(text_col)
+    marked = df.columns.index(lang_col) if lang_col else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             named = pa.RecordBatch.from_arrays(batch.columns, [f"c{i}" for i in range(len(names))])
             for rows, texts in text_batches([named], f"c{at}"):
-                keep = np.concatenate([~judge(held.value, texts.slice(i, _ROWS))[2] for i in range(0, len(texts), _ROWS)])
-                yield pa.RecordBatch.from_arrays(rows.filter(pa.array(keep)).columns, names)
+                parts = [judge(held.value, texts.slice(i, _ROWS)) for i in range(0, len(texts), _ROWS)]
+                columns = rows.columns
+                if marked is not None:
+                    columns[marked] = pa.array([x for langs, _, _ in parts for x in langs], columns[marked].type)
+                keep = pa.array(np.concatenate([~rejected for _, _, rejected in parts]))
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names)
 
     return df.mapInArrow(run, df.schema)

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quarrion.llm import langid, quality, toxicity
 from quarrion.llm import textvec as tv
@@ -86,9 +87,28 @@ def test_limits_by_size():
     assert np.allclose(langid.reject_limits(sizes, own, None)[1], [0.1, 0.4])
 
 
-def test_language_needs_rows(docs_of):
-    with pytest.raises(ValueError):
-        langid.fit(docs_of([(1, "text")]).selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang"))
+def test_nothing_to_learn_a_language_from(docs_of, monkeypatch):
+    some = docs_of([(1, "text"), (2, None)])
+    for df in (some.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang"), some.limit(0)):
+        model = langid.fit(df)
+        assert [(r.lang_pred, r.score, r.rejected) for r in langid.identify(some, model).collect()] == [("und", 0.0, True)] * 2
+        assert langid.identify(df.limit(0), model).collect() == [] == langid.keep_identified(some, model).collect()
+    monkeypatch.setattr(langid, "MOST_LANGS", 1)
+    with pytest.raises(ValueError, match="2 languages"):
+        langid.fit(docs_of([(1, "text", "en"), (2, "text", "de")]))
+
+
+def test_rows_that_repeat_are_learned_once(docs_of, tables):
+    docs = tables("documents").select("doc_id", "text", "lang").limit(120)
+    once, thrice = langid.fit(docs), langid.fit(docs.unionByName(docs).unionByName(docs))
+    assert np.array_equal(once.idf, thrice.idf) and np.array_equal(once.centroids, thrice.centroids)
+
+
+def test_kept_rows_carry_their_language(tables):
+    docs = tables("documents")
+    model = langid.fit(docs)
+    got = {r.doc_id: r.lang for r in langid.keep_identified(docs.withColumn("lang", F.lit("xx")), model, lang_col="lang").collect()}
+    assert got == {r.doc_id: r.lang_pred for r in langid.identify(docs, model).where("not rejected").collect()}
 
 
 @pytest.mark.parametrize("text", ["one two two  two three\nfour " * 9, "a" * 100 + " b" * 40, " " * 200, "x" * 300, "é ü " * 50 + "tail"])
