@@ -190,6 +190,9 @@ def pack(df: DataFrame, path: str, most: int = 2048, id_col: str = "doc_id", tex
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """Packed pieces with ids, assembled: sequence_id, ids, and the (doc_id, piece, offset, length) spans in order."""
+    """Packed pieces with ids, assembled: sequence_id, ids, and the (doc_id, piece, offset, length) spans in order.
+
+    Null ids and repeated rows are pieces like others; no pieces give no rows.
+    """
     parts = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "doc_id", "piece", "ids"))).alias("_p"))
     return parts.select("sequence_id", F.flatten(F.col("_p.ids")).alias("ids"), F.transform("_p", lambda p: F.struct(p["doc_id"].alias("doc_id"), p["piece"].alias("piece"), p["offset"].alias("offset"), p["length"].alias("length"))).alias("spans"))
