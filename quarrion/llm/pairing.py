@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.llm import textvec as tv
-from quarrion.llm.common import map_texts, small_batches, stored
+from quarrion.llm.common import join_groups, map_texts, small_batches, stored
 from quarrion.llm.graph import components
 
-#: Keys that a map task packs at once, keys of a bucket to aim at, and items and shingles of a block.
+#: Keys that a map task packs at once, and keys of a bucket to aim at.
 CHUNK_KEYS, BUCKET_KEYS = 1 << 20, 1 << 20
-BLOCK_ITEMS, BLOCK_SHINGLES, TASK_SHINGLES = 2000, 1_000_000, 400_000
+#: Items, shingles and bytes of text of a block, and shingles and bytes of a task that holds small groups.
+BLOCK_ITEMS, BLOCK_SHINGLES, BLOCK_BYTES = 2000, 1_000_000, 32 << 20
+TASK_SHINGLES, TASK_BYTES = 400_000, 16 << 20
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -79,26 +81,26 @@ def _unpack(rows: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], schema=_EDGES)
 
 
-def candidate_edges(items: DataFrame, signatures: Callable[[pa.Array], Iterator[tuple[int, np.ndarray, int | None]]], expected: int) -> DataFrame:
+def candidate_edges(docs: DataFrame, signatures: Callable[[np.ndarray, pa.Array], Iterator[tuple[int | np.ndarray, np.ndarray, int | None]]], expected: int) -> DataFrame:
     """Distinct (a, b) with a < b: a star of candidate edges for each signature key.
 
-    ``items`` has ``doc_id`` (not null) and ``text``; ``signatures`` yields (position, keys, content hash) for the texts of
-    a chunk.  Within a chunk of keys, texts of equal content hash (unless it is None) are emitted once.  ``expected`` sizes the buckets.
+    ``docs`` has ``doc_id`` (not null) and ``text``; ``signatures`` gets the ids and texts of a chunk and yields (item or
+    items, keys, content hash).  Within a chunk of keys, items of equal content hash (unless it is None) are emitted once.
+    ``expected``, the number of keys, sizes the buckets.
     """
-    shuffle = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shuffle = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(shuffle, expected // BUCKET_KEYS + 1)
 
     def run(chunks):
         keys, ids, n, seen = [], [], 0, set()
         for batch, texts in chunks:
-            docs = batch.column(0).to_numpy()
-            for i, k, content in signatures(texts):
+            for item, k, content in signatures(batch.column(0).to_numpy(), texts):
                 if content is not None:
                     if content in seen:
                         continue
                     seen.add(content)
                 keys.append(k)
-                ids.append(np.full(len(k), docs[i], np.int64))
+                ids.append(np.full(len(k), item, np.int64))
                 n += len(k)
                 if n >= CHUNK_KEYS:
                     yield from _pack(np.concatenate(keys), np.concatenate(ids), buckets)
@@ -106,7 +108,7 @@ def candidate_edges(items: DataFrame, signatures: Callable[[pa.Array], Iterator[
         if n:
             yield from _pack(np.concatenate(keys), np.concatenate(ids), buckets)
 
-    packed = map_texts(items, run, "bucket bigint, low binary, high binary, known binary, local binary, a binary, b binary")
+    packed = map_texts(docs, run, "bucket bigint, low binary, high binary, known binary, local binary, a binary, b binary")
     return packed.groupBy("bucket").applyInArrow(_unpack, "a bigint, b bigint").distinct()
 
 
@@ -159,14 +161,14 @@ def link_sets(nodes: list[int], sets: list[np.ndarray], left: np.ndarray, num: i
 def verified_edges(texts: DataFrame, edges: DataFrame, sizes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(a, b): edges that connect exactly the items whose k-word shingle sets link, within components of ``edges``.
 
-    ``texts`` has doc_id and text; ``sizes`` has doc_id and n, the number of distinct shingles of each item.
+    ``texts`` has doc_id and text; ``sizes`` has doc_id, n (the number of distinct shingles of each item) and bytes of text.
     """
-    groups = stored(components(edges).join(sizes.select(F.col("doc_id").alias("node"), "n"), "node"), "candidates")
-    load = groups.groupBy("component").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_c"))
-    load = load.select("component", F.greatest(F.ceil(F.col("_n") / BLOCK_SHINGLES), F.ceil(F.col("_c") / BLOCK_ITEMS)).cast("bigint").alias("blocks"))
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total) // TASK_SHINGLES)
-    placed = groups.join(load, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    groups = stored(components(edges).join(sizes.select(F.col("doc_id").alias("node"), "n", "bytes"), "node"), "candidates")
+    load = groups.groupBy("component").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_c"), F.sum("bytes").alias("_b"))
+    load = load.select("component", "_c", F.greatest(*(F.ceil(F.col(c) / most) for c, most in (("_n", BLOCK_SHINGLES), ("_c", BLOCK_ITEMS), ("_b", BLOCK_BYTES)))).cast("bigint").alias("blocks"))
+    total = groups.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("c")).first()
+    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total.n or 0) // TASK_SHINGLES, int(total.bytes or 0) // TASK_BYTES)
+    placed = join_groups(groups, load, ["component"], "_c", total.c).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")))
     placed = placed.select("node", "component", F.col("own").alias("own"), "other", task.alias("task"))
@@ -174,6 +176,8 @@ def verified_edges(texts: DataFrame, edges: DataFrame, sizes: DataFrame, k: int,
     wanted = texts.join(placed.hint("merge"), texts["doc_id"] == placed["node"]).select("task", "component", "own", "other", "node", "text")
 
     def verify(rows: pa.Table) -> pa.Table:
+        at = rows.column_names.index("text")
+        rows = rows.set_column(at, "text", rows.column(at).cast(pa.large_string()).fill_null(""))  # together they may be over 2 GB
         union, groups_of = _Union(), {}
         for i, (c, own, other) in enumerate(zip(*(rows.column(x).to_pylist() for x in ("component", "own", "other")), strict=True)):
             groups_of.setdefault((c, min(own, other), max(own, other)), []).append(i)
@@ -182,8 +186,7 @@ def verified_edges(texts: DataFrame, edges: DataFrame, sizes: DataFrame, k: int,
             nodes, first = np.unique(part.column("node").to_numpy(), return_index=True)
             part = part.take(pa.array(first))
             sets: list[np.ndarray] = []
-            column = part.column("text").cast(pa.large_string()).fill_null("")
-            for piece in column.chunks:
+            for piece in part.column("text").chunks:
                 sets += tv.shingle_sets(piece, k)
             left = part.column("own").to_numpy() == lo
             link_sets(nodes.tolist(), sets, left, num, den, union, lo != hi)

@@ -1,16 +1,18 @@
 """Substring dedup: near-duplicate paragraphs by MinHash banding, removed by connected components.
 
-Paragraphs are lines of LEAST words, and shorter lines in a row taken together; each is compared as a whole, whatever its
-length.  A paragraph of over LONGEST words is also cut at content-defined words, and its parts are compared beside it, so
-that a passage inside a long line is cut alike wherever it stands.  Equal paragraphs (in lower case, by words) form classes.  Each class has a MinHash of its
-word shingles; ``tune`` chooses bands and rows for a recall at the threshold.  Classes that share a band are joined,
-verified by the exact Jaccard of their shingles, and linked; of every component of links the first paragraph, by document
-and place, stays.
-
-A passage may also stand across the ends of paragraphs.  For these, blocks of BLOCK words at anchored places serve as
-paragraphs of their own with one exact band: of every SPREAD consecutive blocks of a text the one with the least hash is an
-anchor, so two texts that share BLOCK + SPREAD - 1 words in a row share an anchored block.  Every holder of a block but the
-first repeats it, and repeated blocks that touch make one passage.
+Two kinds of paragraphs are compared.  Those of the layout are lines of LEAST words, and shorter lines in a row taken
+together, whole whatever their length.  Windows are overlapping paragraphs of WINDOW words that do not heed line ends, for
+passages that cross them or lie inside a longer line.  They begin at anchors: of every SPREAD consecutive shingles the
+one with the least hash, so two texts that share WINDOW + SPREAD - 1 words in a row share a whole window.
+
+Equal paragraphs (in lower case, by words) form classes.  Every paragraph has a MinHash of its word shingles, cut into bands:
+``tune`` chooses bands and rows for a recall at the threshold.  Windows have one band: equal ones always meet in it, and
+unequal ones of a Jaccard of s meet with probability s to the rows, in each of the windows that two passages share.
+Classes that share a band are joined, verified by the exact Jaccard of their shingles, and linked; of every component of
+links the first paragraph, by document and place, stays.
+
+Windows that repeat and touch make one passage, which is grown word by word at both ends as far as it equals what its first
+holder has there.
 """
 
 from __future__ import annotations
@@ -19,22 +21,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrion.llm import textvec as tv
 from quarrion.llm.common import join_groups, map_texts, slim, small_batches, stored
 from quarrion.llm.graph import components
 from quarrion.llm.pairing import CHUNK_KEYS, candidate_edges, verified_edges
-from quarrion.llm.setjoin import _signed, set_hash
 
-#: Words that a paragraph must have to count, words of a paragraph that is not cut as well, and of a cut part at least.
-LEAST, LONGEST, PART = 30, 120, 40
+#: Words that a paragraph of the layout must have to count.
+LEAST = 30
 SHINGLE, NUM, DEN = 5, 80, 100
 RECALL, MOST_HASHES = 0.995, 128
-#: Words of an anchored block, and blocks of which one is an anchor: 50 words in a row always hold one.
-BLOCK, SPREAD = 32, 19
-_CUT = np.uint64(31)  # a word whose hash has these bits clear may begin a part
+#: Words of a window, shingles of which one is an anchor (50 words in a row always hold a window), rows of its band.
+WINDOW, SPREAD, ROWS = 32, 19, 3
+#: Windows of a bucket to aim at; a window has about WINDOW_BYTES bytes of text to itself.
+BUCKET_WINDOWS, WINDOW_BYTES = 1 << 18, 60
 
 
 def tune(similarity: float, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -49,11 +51,10 @@ def tune(similarity: float, recall: float = RECALL, most: int = MOST_HASHES) ->
     raise ValueError("no banding within so many hashes reaches the recall")
 
 
-def paragraphs(t: tv.Texts, i: int, words: np.ndarray) -> list[tuple[int, int]]:
-    """(first word, end word) of the paragraphs of text i, of LEAST words at least, within its words.
+def paragraphs(t: tv.Texts, i: int) -> list[tuple[int, int]]:
+    """(first word, end word) of the paragraphs of text i, of LEAST words at least.
 
-    Lines of fewer words are taken together up to the next longer line, or to a blank line once they have LEAST words.  A
-    paragraph of over LONGEST words comes before its parts.
+    Lines of fewer words are taken together up to the next longer line, or to a blank line once they have LEAST words.
     """
     lo, hi = int(t.first[i]), int(t.first[i + 1])
     if hi - lo < LEAST:
@@ -66,61 +67,85 @@ def paragraphs(t: tv.Texts, i: int, words: np.ndarray) -> list[tuple[int, int]]:
             whole += [(since, a), (a, b)]
             since = b
     whole.append((since, hi))
-    out = []
-    for a, b in whole:
-        if b - a < LEAST:
-            continue
-        out.append((a, b))
-        if b - a > LONGEST:
-            marks = np.flatnonzero(words[a:b] & _CUT == 0) + a
-            at = a
-            while b - at > LONGEST:
-                after = marks[np.searchsorted(marks, at + PART) :]
-                to = int(after[0]) if len(after) and after[0] <= at + LONGEST else at + LONGEST
-                out.append((at, to))
-                at = to
-            if b - at >= LEAST:
-                out.append((at, b))
-    return out
+    return [(a, b) for a, b in whole if b - a >= LEAST]
+
+
+class Contents:
+    """64-bit hashes of any runs of words of a chunk, two of them, by prefix sums."""
+
+    def __init__(self, words: np.ndarray):
+        up, self.down = tv._power(len(words) + 1)
+        self.sums = []
+        for turn in (0, 1):
+            s = np.zeros(len(words) + 1, np.uint64)
+            np.cumsum(tv.mix(words + tv.PLACE[8 + turn]) * up[: len(words)], out=s[1:])
+            self.sums.append(s)
+
+    def of(self, a: np.ndarray, b: np.ndarray, turn: int = 0) -> np.ndarray:
+        s = self.sums[turn]
+        return tv.mix((s[b] - s[a]) * self.down[a] + (b - a).astype(np.uint64)).view(np.int64)
+
+
+def _layout(t: tv.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, number, first and end word of the paragraphs of a chunk."""
+    found = [(i, n, a, b) for i in range(len(t)) for n, (a, b) in enumerate(paragraphs(t, i))]
+    return tuple(np.array([f[j] for f in found], np.int64) for j in range(4))
 
 
-PARAGRAPHS = "doc_id bigint, paragraph int, start bigint, end bigint, n_words int, s1 bigint, s2 bigint"
+PARAGRAPHS = "doc_id bigint, paragraph int, start bigint, end bigint, n_words int, class bigint, mark bigint"
 
 
-def _split(chunks, with_text: bool) -> Iterator[dict]:
+def _listed(chunks) -> Iterator[dict]:
     for batch, texts in chunks:
         t = tv.split(texts)
-        words = tv.word_hashes(t)
-        order = np.arange(1, LONGEST * 4 + 2, dtype=np.uint64)
-        rows = []
-        docs = batch.column(0).to_pylist()
-        for i in range(len(t)):
-            for n, (a, b) in enumerate(paragraphs(t, i, words)):
-                if b - a > len(order):
-                    order = np.arange(1, 2 * (b - a), dtype=np.uint64)
-                start, end = int(t.starts[a]), int(t.ends[b - 1])
-                if with_text:
-                    rows.append((docs[i], n, t.data[start:end].tobytes().decode("utf-8", "replace")))
-                else:
-                    s1, s2 = set_hash(tv.mix(words[a:b] + order[: b - a]))
-                    rows.append((docs[i], n, start - int(t.offsets[i]), end - int(t.offsets[i]), b - a, _signed(s1), _signed(s2)))
-        names = ["doc_id", "paragraph", "text"] if with_text else [x.split()[0] for x in PARAGRAPHS.split(", ")]
-        yield {n: [r[j] for r in rows] for j, n in enumerate(names)}
+        contents = Contents(tv.word_hashes(t))
+        i, n, a, b = _layout(t)
+        if len(i):
+            yield {"doc_id": batch.column(0).to_numpy()[i], "paragraph": n, "start": t.starts[a] - t.offsets[i], "end": t.ends[b - 1] - t.offsets[i], "n_words": b - a, "class": contents.of(a, b), "mark": contents.of(a, b, 1)}
 
 
 _draw = np.random.default_rng(77)
-_PLANES = _draw.integers(0, 1 << 63, MOST_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1), _draw.integers(0, 1 << 63, MOST_HASHES, dtype=np.uint64)
+_PLANES = _draw.integers(0, 1 << 31, MOST_HASHES, dtype=np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1), _draw.integers(0, 1 << 32, MOST_HASHES, dtype=np.uint64).astype(np.uint32)
+_ANCHOR = np.uint32(0x9E3779B1), np.uint32(0x7F4A7C15)
+
+
+def minhash(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """(n, sets): the least of n hashes over sets that are ranges of 32-bit shingle hashes, each from ``at`` to the next."""
+    low = np.empty((n, len(at)), np.uint32)
+    for i in range(n):
+        low[i] = np.minimum.reduceat(h * _PLANES[0][i] + _PLANES[1][i], at)
+    return low
+
+
+def band_keys(low: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(bands, sets): a 64-bit key for each band of MinHashes."""
+    place = (np.arange(bands * rows, dtype=np.uint64) % np.uint64(rows) + np.uint64(1)) * tv.PLACE[1]
+    sums = np.add.reduceat(tv.mix(low.astype(np.uint64) + place[:, None]), np.arange(0, bands * rows, rows), axis=0)
+    return tv.mix(sums + (np.arange(bands, dtype=np.uint64) * tv.PLACE[2])[:, None])
+
 
+def _flat(words: np.ndarray, k: int) -> np.ndarray:
+    """32-bit hashes of the k-word shingles that begin at each word, wherever texts end."""
+    return (tv.shingles(words, k) >> np.uint64(32)).astype(np.uint32)
 
-def minhash_keys(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A key for each band of the MinHash of a set of hashes (not empty)."""
-    n = bands * rows
-    mult, add = _PLANES[0][:n], _PLANES[1][:n]
-    low = np.full(n, (1 << 64) - 1, np.uint64)
-    for at in range(0, len(h), 256):  # what fits a core's cache
-        low = np.minimum(low, (h[at : at + 256, None] * mult + add).min(0))
-    place = np.arange(n, dtype=np.uint64) % np.uint64(rows)
-    return tv.mix(np.add.reduceat(tv.mix(low + place * tv.PLACE[1]), np.arange(0, n, rows)) + np.arange(bands, dtype=np.uint64) * tv.PLACE[2])
+
+def paragraph_signatures(k: int, bands: int, rows: int):
+    """Band keys of the paragraphs of a chunk of texts, and their classes."""
+
+    def run(ids: np.ndarray, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, None]]:
+        t = tv.split(texts)
+        words = tv.word_hashes(t)
+        _, _, a, b = _layout(t)
+        if not len(a):
+            return
+        h, contents = _flat(words, k), Contents(words)
+        n = np.maximum(b - a - k + 1, 1)
+        at = np.append(0, np.cumsum(n))
+        gathered = h[np.repeat(a - at[:-1], n) + np.arange(at[-1])]
+        keys = band_keys(minhash(gathered, at[:-1], bands * rows), bands, rows)
+        yield np.tile(contents.of(a, b), bands), keys.ravel(), None
+
+    return run
 
 
 def _sliding(x: np.ndarray, n: int, pick) -> np.ndarray:
@@ -132,153 +157,284 @@ def _sliding(x: np.ndarray, n: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
 
 
-def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first words, hashes) of a text's anchored blocks; of equal blocks only the first."""
-    n = len(words) - BLOCK + 1
+def windows(words: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, band keys) of a text's windows."""
+    n = len(words) - WINDOW + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = tv.sequence_hashes(words, BLOCK)
+    h = _flat(words, k)
+    mark = h[:n] * _ANCHOR[0] + _ANCHOR[1]
     spread = min(SPREAD, n)
-    least = _sliding(h, spread, np.minimum)
-    reach = np.concatenate([np.zeros(spread - 1, np.uint64), least, np.zeros(spread - 1, np.uint64)])
-    at = np.flatnonzero(h == _sliding(reach, spread, np.maximum))
-    _, first = np.unique(h[at], return_index=True)
-    at = at[np.sort(first)]
-    return at, h[at]
-
-
-_PACKED = "bucket bigint, key binary, check binary, doc binary, word binary, start binary, end binary, keep binary"
-_BLOCKS = pa.schema([(n, pa.int64()) for n in ("doc_id", "word", "start", "end", "keep_doc_id")])
-
-
-def _first_holders(keys: np.ndarray, checks: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of each block's first holder, of the others, and the first holder's document for each of these."""
-    order = np.lexsort((units[:, 2], units[:, 0], checks, keys))
-    k, c = keys[order], checks[order]
-    first = np.ones(len(k), bool)
-    first[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-    head = np.flatnonzero(first)[np.cumsum(first) - 1]
-    return order[first], order[~first], units[order[head[~first]], 0]
-
-
-def _pack_blocks(keys: np.ndarray, checks: np.ndarray, units: np.ndarray, buckets: int) -> Iterator[dict]:
-    first, others, keep = _first_holders(keys, checks, units)
-    keys, checks, known, units = keys[first], checks[first], units[others], units[first]
-    bucket = ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
-    at = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(keys)) if len(keys) else []
-    small = lambda u: [u[:, 0].tobytes(), u[:, 1].astype("<u4").tobytes(), u[:, 2].astype("<u4").tobytes(), (u[:, 3] - u[:, 2]).astype("<u4").tobytes()]
-    rows = [(int(bucket[a]), keys[a:b].tobytes(), checks[a:b].astype("<u4").tobytes(), *small(units[a:b]), None) for a, b in zip(at[:-1], at[1:], strict=True)]
+    least = _sliding(mark, spread, np.minimum)
+    edge = np.zeros(spread - 1, np.uint32)
+    at = np.flatnonzero(mark == _sliding(np.concatenate([edge, least, edge]), spread, np.maximum))
+    low = np.stack([_sliding(h * _PLANES[0][i] + _PLANES[1][i], WINDOW - k + 1, np.minimum)[at] for i in range(ROWS)])
+    return at, band_keys(low, 1, ROWS)[0]
+
+
+def _apart(at: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Which windows of a text to keep: of equal ones, those that do not overlap the one kept before."""
+    keep = np.ones(len(at), bool)
+    _, which, n = np.unique(content, return_inverse=True, return_counts=True)
+    last: dict[int, int] = {}
+    for i in np.flatnonzero(n[which] > 1).tolist():
+        if at[i] < last.get(int(which[i]), -WINDOW) + WINDOW:
+            keep[i] = False
+        else:
+            last[int(which[i])] = int(at[i])
+    return keep
+
+
+_PACKED = "bucket bigint, key binary, class binary, doc binary, word binary, start binary, bytes binary, known binary"
+_MET = "class bigint, other bigint, doc_id bigint, word bigint, start bigint, end bigint"
+_UNIT = np.dtype([("key", "<u8"), ("class", "<i8"), ("doc", "<i8"), ("word", "<u4"), ("start", "<u4"), ("bytes", "<u4"), ("known", "?")])
+
+
+def _meet(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows by key, class and place; which of them share a key with another; a star of the classes of each key."""
+    u = u[np.lexsort((u["word"], u["doc"], u["class"], u["key"]))]
+    new = np.append(True, u["key"][1:] != u["key"][:-1])
+    group = np.cumsum(new) - 1
+    shared = (np.bincount(group) > 1) | (np.bincount(group, u["known"]) > 0)
+    least = u["class"][np.flatnonzero(new)][group]
+    other = least != u["class"]
+    edges = np.unique(np.stack([least[other], u["class"][other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
+    return u, shared[group], edges
+
+
+def _pack(u: np.ndarray, buckets: int) -> Iterator[dict]:
+    """A row for each bucket with one window of each key and class; the others, known to be shared, and edges beside them."""
+    u, shared, edges = _meet(u)
+    u["known"] |= shared
+    first = np.append(True, (u["key"][1:] != u["key"][:-1]) | (u["class"][1:] != u["class"][:-1]))
+    heads, others = u[first], u[~first]
+    bucket = ((heads["key"] >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+    at = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(heads))
+    names = _UNIT.names
+    rows = [(int(bucket[a]), *(heads[n][a:b].tobytes() for n in names)) for a, b in zip(at[:-1], at[1:], strict=True)]
     if len(others):
-        rows.append((int(known[0, 0]) % buckets, None, None, *small(known), keep.tobytes()))
-    yield {n: [r[i] for r in rows] for i, n in enumerate(("bucket", "key", "check", "doc", "word", "start", "end", "keep"))}
-
-
-def _unpack_blocks(rows: pa.Table) -> pa.Table:
-    keys, checks, units, out = [], [], [], []
-    for r in rows.select(["key", "check", "doc", "word", "start", "end", "keep"]).to_pylist():
-        start = np.frombuffer(r["start"], "<u4").astype(np.int64)
-        u = np.stack([np.frombuffer(r["doc"], np.int64), np.frombuffer(r["word"], "<u4").astype(np.int64), start, start + np.frombuffer(r["end"], "<u4")], 1)
-        if r["keep"] is not None:
-            out.append(np.column_stack([u, np.frombuffer(r["keep"], np.int64)]))
+        rows.append((int(others["doc"][0]) % buckets, None, *(others[n].tobytes() for n in names[1:])))
+    if len(edges):
+        rows.append((int(edges[0, 0]) % buckets, edges[:, 0].tobytes(), edges[:, 1].tobytes(), *[None] * (len(names) - 2)))
+    yield {n: [r[i] for r in rows] for i, n in enumerate(("bucket", *names))}
+
+
+def _met(rows: pa.Table) -> pa.Table:
+    """Members (windows that share a key) and edges between classes of a bucket."""
+    heads, members, edges = [], [], []
+    for r in rows.select(list(_UNIT.names)).to_pylist():
+        if r["doc"] is None:
+            edges.append(np.stack([np.frombuffer(r["key"], np.int64), np.frombuffer(r["class"], np.int64)], 1))
             continue
-        keys.append(np.frombuffer(r["key"], np.uint64))
-        checks.append(np.frombuffer(r["check"], "<u4"))
-        units.append(u)
-    if keys:
-        units_ = np.concatenate(units)
-        _, others, keep = _first_holders(np.concatenate(keys), np.concatenate(checks), units_)
-        out.append(np.column_stack([units_[others], keep]))
-    found = np.concatenate(out) if out else np.zeros((0, 5), np.int64)
-    return pa.Table.from_arrays([pa.array(found[:, i]) for i in range(5)], schema=_BLOCKS)
-
-
-def repeated_blocks(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, n_words, keep_doc_id) of runs of blocks that an earlier document (or place) holds as well.
-
-    ``docs`` has doc_id (not null) and text.  ``keep_doc_id`` is the least earlier holder known of any of the run's blocks.
-    """
+        u = np.zeros(len(r["doc"]) // 8, _UNIT)
+        for n in _UNIT.names:
+            if r[n] is not None:
+                u[n] = np.frombuffer(r[n], _UNIT[n])
+        (heads if r["key"] is not None else members).append(u)
+    if heads:
+        u, shared, own = _meet(np.concatenate(heads))
+        members.append(u[shared])
+        edges.append(own)
+    u = np.concatenate(members) if members else np.zeros(0, _UNIT)
+    e = np.unique(np.concatenate(edges), axis=0) if edges else np.zeros((0, 2), np.int64)
+    whole = lambda a, b, gap: pa.array(np.concatenate([a, b]), pa.int64(), mask=np.concatenate(gap))
+    none, no, yes = np.zeros(len(e), np.int64), np.zeros(len(u), bool), np.ones(len(e), bool)
+    of = {n: u[n].astype(np.int64) for n in ("doc", "word", "start")} | {"end": u["start"].astype(np.int64) + u["bytes"]}
+    return pa.table({"class": pa.array(np.concatenate([u["class"], e[:, 0]])), "other": whole(no.astype(np.int64), e[:, 1], [~no, ~yes])} | {n: whole(of[k], none, [no, yes]) for n, k in (("doc_id", "doc"), ("word", "word"), ("start", "start"), ("end", "end"))})
+
+
+def shared_windows(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """Windows that share a band with another, and edges between their classes (``other`` is not null)."""
     small_batches(docs.sparkSession)
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // WINDOW_BYTES // BUCKET_WINDOWS)
 
     def run(chunks):
-        keys, checks, units, n = [], [], [], 0
+        units, n = [], 0
         for batch, texts in chunks:
             t = tv.split(texts)
             words = tv.word_hashes(t)
+            contents = Contents(words)
             ids = batch.column(0).to_numpy()
             for i in range(len(t)):
                 lo = int(t.first[i])
-                at, h = anchors(words[t.words_of(i)])
-                if len(at):
-                    keys.append(h)
-                    checks.append(tv.mix(h ^ words[lo + at] ^ words[lo + at + BLOCK - 1] * tv.PLACE[7]) >> np.uint64(32))
-                    units.append(np.stack([np.full(len(at), ids[i]), at, t.starts[lo + at] - t.offsets[i], t.ends[lo + at + BLOCK - 1] - t.offsets[i]], 1))
-                    n += len(at)
+                at, keys = windows(words[t.words_of(i)], k)
+                if not len(at):
+                    continue
+                content = contents.of(lo + at, lo + at + WINDOW)
+                some = _apart(at, content)
+                at = at[some]
+                u = np.zeros(len(at), _UNIT)
+                u["key"], u["class"], u["doc"], u["word"] = keys[some], content[some], ids[i], at
+                u["start"] = t.starts[lo + at] - t.offsets[i]
+                u["bytes"] = t.ends[lo + at + WINDOW - 1] - t.starts[lo + at]
+                units.append(u)
+                n += len(at)
             if n >= CHUNK_KEYS // 2:
-                yield from _pack_blocks(np.concatenate(keys), np.concatenate(checks), np.concatenate(units), buckets)
-                keys, checks, units, n = [], [], [], 0
+                yield from _pack(np.concatenate(units), buckets)
+                units, n = [], 0
         if n:
-            yield from _pack_blocks(np.concatenate(keys), np.concatenate(checks), np.concatenate(units), buckets)
+            yield from _pack(np.concatenate(units), buckets)
+
+    return stored(map_texts(docs, run, _PACKED).groupBy("bucket").applyInArrow(_met, _MET), "windows")
 
-    blocks = map_texts(docs, run, _PACKED).groupBy("bucket").applyInArrow(_unpack_blocks, "doc_id bigint, word bigint, start bigint, end bigint, keep_doc_id bigint")
-    # a document's repeated blocks, in order, cut where two do not touch
+
+def _holders(members: DataFrame, total: int) -> DataFrame:
+    """Windows whose content an earlier place has as well: their first holder, and whether they begin or end a run of such."""
+    firsts = members.groupBy("class").agg(F.min(F.struct("doc_id", "word")).alias("x"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    found = join_groups(members.select("class", "doc_id", "word"), stored(firsts.select("class", F.col("x.doc_id").alias("keep_doc"), F.col("x.word").alias("keep_word"), "holders"), "firsts"), ["class"], "holders", total)
+    found = found.where((F.col("keep_doc") < F.col("doc_id")) | ((F.col("keep_doc") == F.col("doc_id")) & (F.col("keep_word") + WINDOW <= F.col("word"))))
     order = Window.partitionBy("doc_id").orderBy("word")
-    last = F.max(F.col("word") + BLOCK).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = blocks.withColumn("_new", F.coalesce(F.col("word") > last, F.lit(True)).cast("bigint")).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("doc_id", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("word") + BLOCK - F.min("word")).cast("int").alias("n_words"), F.min("keep_doc_id").alias("keep_doc_id")).drop("_run")
-
-
-def repeated_paragraphs(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(doc_id, paragraph, start, end, n_words, keep_doc_id, keep_paragraph, component_id) of paragraphs that are not the first
-    of their component; ``docs`` has doc_id (not null) and text."""
-    found = stored(map_texts(docs, lambda c: _split(c, False), PARAGRAPHS), "paragraphs")
-    classes = found.groupBy("s1", "s2", "n_words").agg(F.min(F.struct("doc_id", "paragraph", "start", "end")).alias("first"), F.count(F.lit(1)).alias("size"))
-    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-    texts = map_texts(docs, lambda c: _split(c, True), "doc_id bigint, paragraph int, text string")
-    heads = classes.select(F.col("first.doc_id").alias("doc_id"), F.col("first.paragraph").alias("paragraph"), "class")
-    texts = stored(texts.join(heads, ["doc_id", "paragraph"]).select(F.col("class").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "passages")
-    bands, rows = tune(num / den)
+    before = F.max(F.col("word") + WINDOW).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min("word").over(order.rowsBetween(1, Window.unboundedFollowing))
+    marked = found.withColumn("first", F.coalesce(before < F.col("word"), F.lit(True))).withColumn("last", F.coalesce(after > F.col("word") + WINDOW, F.lit(True)))
+    return stored(marked.where("first or last").drop("holders").distinct(), "run_ends")
 
-    def signatures(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, None]]:
-        for i, h in enumerate(tv.shingle_sets(texts, k)):
-            if len(h):
-                yield i, minhash_keys(h, bands, rows), None
 
-    total = classes.agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("t")).first()
-    edges = stored(candidate_edges(texts, signatures, total.c * bands), "pairs")
-    sizes = classes.select(F.col("class").alias("doc_id"), F.greatest(F.col("n_words") - k + 1, F.lit(1)).cast("bigint").alias("n"))
-    linked = components(verified_edges(texts, edges, sizes, k, num, den)).select(F.col("node").alias("class"), "component")
-    # what stays in each component, and how many paragraphs each class holds
-    joined = stored(classes.join(linked, "class", "left").withColumn("component", F.coalesce("component", "class")), "joined")
-    heads = joined.groupBy("component").agg(F.min("first").alias("keep"), F.sum("size").alias("all"))
-    groups = joined.join(heads.where("all > 1"), "component").select("s1", "s2", "n_words", "size", "component", "keep")
-    out = join_groups(found, groups, ["s1", "s2", "n_words"], "size", total.t or 0).where(F.col("component").isNotNull())
-    # a part that is nearly its whole paragraph links with it, and repeats nothing by that
-    apart = (F.col("end") <= F.col("keep.start")) | (F.col("start") >= F.col("keep.end"))
-    out = out.where((F.col("doc_id") != F.col("keep.doc_id")) | apart)
-    return out.select("doc_id", "paragraph", "start", "end", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.paragraph").alias("keep_paragraph"), F.col("component").alias("component_id"))
+_AROUND = "class bigint, text string, doc_id bigint, word bigint, before binary, starts binary, after binary, ends binary"
+
 
+def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """What is asked of the documents, in one pass: the text of a class (start, end), or the words around a window (word).
+
+    Each is checked against its class, so that documents which share an id do no harm.
+    """
+    asked = wanted.groupBy("doc_id").agg(F.to_json(F.collect_list(F.struct("class", "start", "end", "word"))).alias("asked"))
+    rows = docs.join(asked.hint("merge"), "doc_id").select("doc_id", "text", "asked")  # both grow with the data
+
+    def run(chunks):
+        import json
+
+        for batch, texts in chunks:
+            t = tv.split(texts)
+            words = tv.word_hashes(t)
+            contents = Contents(words)
+            out = []
+            for i, (doc, asked) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                lo, hi, base = int(t.first[i]), int(t.first[i + 1]), int(t.offsets[i])
+                for q in json.loads(asked):
+                    if "word" in q:
+                        a = lo + q["word"]
+                        b = a + WINDOW
+                        if b > hi or contents.of(np.array([a]), np.array([b]))[0] != q["class"]:
+                            continue
+                        x, y = slice(max(lo, a - SPREAD + 1), a), slice(b, min(hi, b + SPREAD - 1))
+                        out.append((None, None, doc, q["word"], words[x][::-1].tobytes(), (t.starts[x] - base)[::-1].tobytes(), words[y].tobytes(), (t.ends[y] - base).tobytes()))
+                    else:
+                        a, b = np.searchsorted(t.starts, base + q["start"]), np.searchsorted(t.ends, base + q["end"], "right")
+                        if lo <= a < b <= hi and contents.of(np.array([a]), np.array([b]))[0] == q["class"]:
+                            out.append((q["class"], t.data[t.starts[a] : t.ends[b - 1]].tobytes().decode("utf-8", "replace"), *[None] * 6))
+            yield {n.split()[0]: [r[j] for r in out] for j, n in enumerate(_AROUND.split(", "))}
+
+    return stored(map_texts(rows, run, _AROUND), "fetched")
+
+
+def _grown(ends: DataFrame, around: DataFrame, total: int) -> DataFrame:
+    """(doc_id, word, from, to, from_byte, to_byte) of windows at the ends of runs: how far they equal their first holder."""
+    around = around.dropDuplicates(["doc_id", "word"])
+    holders = ends.groupBy("keep_doc", "keep_word").agg(F.count(F.lit(1)).alias("n"))
+    theirs = around.select(F.col("doc_id").alias("keep_doc"), F.col("word").alias("keep_word"), F.col("before").alias("their_before"), F.col("after").alias("their_after"))
+    rows = join_groups(ends, theirs.join(holders, ["keep_doc", "keep_word"]), ["keep_doc", "keep_word"], "n", total).drop("n")
+    rows = rows.join(around.select("doc_id", "word", "before", "starts", "after", "ends"), ["doc_id", "word"])
+    rows = rows.select("doc_id", "word", "first", "last", "before", "starts", "after", "ends", "their_before", "their_after", (F.col("doc_id") == F.col("keep_doc")).alias("same"), (F.col("word") - F.col("keep_word") - WINDOW).alias("gap"))
+
+    def same_words(a: bytes, b: bytes) -> int:
+        n = min(len(a), len(b)) // 8
+        unlike = np.flatnonzero(np.frombuffer(a, np.int64, n) != np.frombuffer(b, np.int64, n))
+        return int(unlike[0]) if len(unlike) else n
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                left = same_words(r["before"], r["their_before"] or b"") if r["first"] else 0
+                right = same_words(r["after"], r["their_after"] or b"") if r["last"] else 0
+                left = min(left, r["gap"]) if r["same"] else left  # not into the holder itself
+                out.append((r["doc_id"], r["word"], r["word"] - left, r["word"] + WINDOW + right, int(np.frombuffer(r["starts"], np.int64)[left - 1]) if left else None, int(np.frombuffer(r["ends"], np.int64)[right - 1]) if right else None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(6)], names=["doc_id", "word", "from", "to", "from_byte", "to_byte"])
+
+    small_batches(ends.sparkSession)
+    return rows.mapInArrow(run, "doc_id bigint, word bigint, from bigint, to bigint, from_byte bigint, to_byte bigint").dropDuplicates(["doc_id", "word"])
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """One row for each paragraph or passage that repeats an earlier one and would be removed.
 
-    kind (``paragraph`` or ``passage``), doc_id, start and end (bytes of the text's UTF-8 form), n_words, keep_doc_id (an
-    earlier document with it); for paragraphs also their number among the document's paragraphs of LEAST words, the
-    keep_paragraph and component_id of what stays: the first by (doc_id, paragraph) of each component, so a repetition
-    within a document counts too.  The two kinds may overlap, and so do a paragraph and its parts.  Null, empty and short texts and rows with a null id give no
-    rows; a row that repeats another (id and text) gives the same paragraphs again; no rows give no rows; other columns
-    are not read.
+    kind (``paragraph`` of the layout or ``passage`` of windows), doc_id, start and end (bytes of the text's UTF-8 form),
+    n_words, keep_doc_id (an earlier document with it, or the same one), for paragraphs their number among the document's
+    paragraphs of LEAST words, and component_id: the class, a hash of the words, that names the component (for a passage,
+    that of its first window).  What stays is the first of each component by document and place: keep_start, and
+    keep_paragraph if it is one of the layout.  A repetition within a document counts if it does not overlap what stays.  The two kinds may overlap.
+
+    Null, empty and short texts and rows with a null id give no rows; a row that repeats another (id and text) gives the same
+    paragraphs again; no rows give no rows; other columns are not read.  Paragraphs of fewer than LEAST words are found only
+    as part of lines taken together or of a window.
     """
     docs = slim(df, id_col, text_col).where("doc_id is not null")
-    paragraph = repeated_paragraphs(docs, k, num, den).withColumn("kind", F.lit("paragraph"))
-    passage = repeated_blocks(docs).withColumn("kind", F.lit("passage"))
-    columns = ["kind", "doc_id", "paragraph", "start", "end", "n_words", "keep_doc_id", "keep_paragraph", "component_id"]
-    return paragraph.unionByName(passage, allowMissingColumns=True).select(*columns)
+    listed = stored(map_texts(docs, _listed, PARAGRAPHS), "paragraphs")
+    bands, rows = tune(num / den)
+    edges = stored(candidate_edges(docs, paragraph_signatures(k, bands, rows), listed.count() * bands), "pairs")
+    met = shared_windows(docs, k)
+    members = met.where("doc_id is not null").select("doc_id", "word", "start", "end", "class")
+    place = lambda number, word: F.struct("doc_id", "start", "end", word.cast("bigint").alias("word"), number.cast("int").alias("paragraph")).alias("at")
+    null = F.lit(None)
+    units = listed.select("class", place(F.col("paragraph"), null), "n_words", "mark").unionByName(members.select("class", place(null, F.col("word")), F.lit(WINDOW).alias("n_words"), null.cast("bigint").alias("mark")))
+    classes = units.groupBy("class").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("size"), F.max("n_words").alias("n_words"), F.min("mark").alias("a"), F.max("mark").alias("b"))
+    classes = stored(classes.where(F.coalesce(F.col("a") == F.col("b"), F.lit(True))).drop("a", "b"), "classes")  # unlike contents of one hash are left alone
+    total = classes.agg(F.sum("size")).first()[0] or 0
+    edges = edges.unionByName(_distant(met.where("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")).distinct(), classes))
+    edges = stored(edges, "candidates")
+    # the texts to verify and the words around the ends of runs, in one pass over the documents
+    nodes = edges.select(F.col("a").alias("class")).unionByName(edges.select(F.col("b").alias("class"))).distinct()
+    ends = _holders(members, total)
+    asked = classes.join(nodes.hint("merge"), "class", "left_semi").select("first.doc_id", "class", "first.start", "first.end", null.cast("bigint").alias("word"))
+    around = ends.select("doc_id", "class", "word").unionByName(ends.select(F.col("keep_doc").alias("doc_id"), "class", F.col("keep_word").alias("word"))).distinct()
+    found = _fetched(docs, asked.unionByName(around.select("doc_id", "class", null.cast("bigint").alias("start"), null.cast("bigint").alias("end"), "word")))
+    texts = found.where("class is not null").select(F.col("class").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    sizes = classes.select(F.col("class").alias("doc_id"), F.greatest(F.col("n_words") - k + 1, F.lit(1)).cast("bigint").alias("n"), (F.col("first.end") - F.col("first.start")).alias("bytes"))
+    linked = components(verified_edges(texts, edges, sizes, k, num, den)).select(F.col("node").alias("class"), "component")
+    # what stays of each component
+    joined = stored(classes.join(linked, "class", "left").withColumn("component", F.coalesce("component", "class")), "joined")
+    heads = joined.groupBy("component").agg(F.min("first").alias("keep"), F.sum("size").alias("all"))
+    groups = stored(joined.join(heads.where("all > 1"), "component").select("class", "size", "component", "keep", "first"), "repeated")
+    repeats = (F.col("doc_id") != F.col("keep.doc_id")) | (F.col("start") >= F.col("keep.end"))
+    paragraph = join_groups(listed, groups, ["class"], "size", total).where(F.col("component").isNotNull() & repeats)
+    paragraph = paragraph.select(F.lit("paragraph").alias("kind"), "doc_id", "paragraph", "start", "end", "n_words", "keep", "component")
+    window = join_groups(members, groups, ["class"], "size", total).where(F.col("component").isNotNull() & repeats)
+    passage = _passages(window, _grown(ends, found.where("class is null"), total))
+    return paragraph.unionByName(passage.withColumn("paragraph", F.lit(None).cast("int"))).select("kind", "doc_id", "paragraph", "start", "end", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"), F.col("keep.paragraph").alias("keep_paragraph"), F.col("component").alias("component_id"))
+
+
+def _distant(edges: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges of windows but for those that overlap in their first document, which say nothing of repetition."""
+    of = lambda end: classes.select(F.col("class").alias(end), F.col("first").alias(f"first_{end}"))
+    both = edges.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b")
+    x, y = (lambda f: F.col(f"first_a.{f}")), (lambda f: F.col(f"first_b.{f}"))
+    overlap = (x("doc_id") == y("doc_id")) & (x("start") < y("end")) & (y("start") < x("end"))
+    return both.where(~overlap).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _passages(window: DataFrame, grown: DataFrame) -> DataFrame:
+    """Repeated windows, grown, joined where they touch; those that are only near another's bound no run that has equal ones."""
+    window = window.join(grown.hint("merge"), ["doc_id", "word"], "left")
+    or_own = lambda c, own: F.coalesce(F.col(c), own)
+    exact = (F.col("first.doc_id") != F.col("doc_id")) | (F.col("start") >= F.col("first.end"))
+    window = window.select("doc_id", "word", "keep", "component", exact.alias("exact"), or_own("from", F.col("word")).alias("from"), or_own("to", F.col("word") + WINDOW).alias("to"), or_own("from_byte", F.col("start")).alias("start"), or_own("to_byte", F.col("end")).alias("end"))
+    order = Window.partitionBy("doc_id").orderBy("from", "word")
+    last = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = window.withColumn("new", F.coalesce(F.col("from") > last, F.lit(True)).cast("bigint")).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    bound = lambda pick, c: F.coalesce(pick(F.when(F.col("exact"), F.col(c))), pick(c))
+    head: Column = F.min(F.struct(~F.col("exact"), "word", "component")).alias("head")
+    runs = runs.groupBy("doc_id", "run").agg(bound(F.min, "start").alias("start"), bound(F.max, "end").alias("end"), (bound(F.max, "to") - bound(F.min, "from")).cast("int").alias("n_words"), F.min("keep").alias("keep"), head)
+    return runs.select(F.lit("passage").alias("kind"), "doc_id", "start", "end", "n_words", "keep", F.col("head.component").alias("component"))
 
 
 def remove_passages(df: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) with the removed byte ranges cut out of each text; ids must be unique."""
+    """(doc_id, text) with the removed byte ranges cut out of each text.
+
+    Rows that share an id lose the same ranges, so ids should be unique.  A null text stays null, rows without a range and
+    rows with a null id stay as they are, ranges may overlap; no rows give no rows.
+    """
     spans = removed.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
     rows = slim(df, id_col, text_col).join(spans, "doc_id", "left")
     cut = rows.select("doc_id", "text", F.to_json("spans").alias("spans"))

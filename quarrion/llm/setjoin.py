@@ -26,6 +26,7 @@ from math import exp, factorial, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,31 +180,31 @@ def jaccard_components(df: DataFrame, k: int = 3, num: int = 90, den: int = 100,
         for batch, texts in chunks:
             sets = tv.shingle_sets(texts, k)
             marks = [set_hash(s) for s in sets]
-            yield {"doc_id": batch.column(0), "n": [len(s) for s in sets], "s1": [_signed(a) for a, _ in marks], "s2": [_signed(b) for _, b in marks]}
+            yield {"doc_id": batch.column(0), "n": [len(s) for s in sets], "s1": [_signed(a) for a, _ in marks], "s2": [_signed(b) for _, b in marks], "bytes": pc.binary_length(texts)}
 
-    sets = stored(map_texts(docs, measure, "doc_id bigint, n bigint, s1 bigint, s2 bigint"), "sets")
+    sets = stored(map_texts(docs, measure, "doc_id bigint, n bigint, s1 bigint, s2 bigint, bytes bigint"), "sets")
     real = sets.where("n > 0 and doc_id is not null")
-    classes = stored(real.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "classes")
+    classes = stored(real.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.max("bytes").alias("bytes")), "classes")
     steps = list(classes.groupBy(F.floor(F.log(1.05, "n")).alias("step")).agg(F.min("n").alias("least"), F.max("n").alias("largest"), F.count(F.lit(1)).alias("c"), F.sum("size").alias("t")).toLocalIterator())  # a row for each 5 % of size
     counts = band_counts([(r.least, r.largest, r.c) for r in steps], num, den)
     plans = allocate(counts, num, den)
     expected = sum(n * 2 * plans[b].m for b, n in counts.items() if b in plans)
 
-    def signatures(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, int]]:
-        for i, h in enumerate(tv.shingle_sets(texts, k)):
+    def signatures(ids: np.ndarray, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, int]]:
+        for i, h in zip(ids, tv.shingle_sets(texts, k), strict=True):
             keys = [signature_keys(h, b, plans[b]) for b in (bands_for(len(h), num, den) if len(h) else ()) if b in plans]
             if keys:
                 yield i, np.concatenate(keys), set_hash(h)[0]
 
     total = sum(r.t for r in steps)
-    members = join_groups(sets, classes.where("size > 1"), ["n", "s1", "s2"], "size", total).select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("size", F.lit(1).cast("bigint")).alias("size"))
+    members = join_groups(sets.drop("bytes"), classes.where("size > 1").drop("bytes"), ["n", "s1", "s2"], "size", total).select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("size", F.lit(1).cast("bigint")).alias("size"))
     members = stored(members, "members")
     edges = candidate_edges(docs.where("doc_id is not null"), signatures, expected)
     # candidates are between representatives of equal sets, which link anyway
     of = members.where("doc_id is not null and n > 0").select("doc_id", "rep").distinct()
     edges = edges.join(of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
     edges = stored(edges.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "pairs")
-    sizes = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n").alias("n"))
+    sizes = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n").alias("n"), F.max("bytes").alias("bytes"))
     linked = verified_edges(docs.where("doc_id is not null"), edges, sizes, k, num, den)
     # rows that share an id but not a set tie their representatives together
     tied = members.where("doc_id is not null and n > 0 and rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).join(classes.select(F.col("rep").alias("b")), "b", "left_semi")

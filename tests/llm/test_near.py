@@ -186,12 +186,54 @@ def test_passages_against_brute_force(docs_of):
     assert passages.repeated_passages(df.limit(0)).collect() == []
 
 
-def test_passages_inside_long_lines(docs_of):
+def spans_of(rows, got):
+    """The words of each row's text, and which of them the results cover."""
+    out = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        covered = bytearray(len(b))
+        for r in got:
+            if r.doc_id == i:
+                assert len(b[r.start : r.end].split()) == r.n_words
+                covered[r.start : r.end] = b"\1" * (r.end - r.start)
+        out[i] = [(m[0].decode(), bool(covered[m.start()])) for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+    return out
+
+
+def test_passages_inside_long_lines_are_covered_whole(docs_of):
     rng = random.Random(3)
     shared = " ".join(f"s{rng.randrange(10**6)}" for _ in range(400))
-    rows = [(i, " ".join([*(f"u{rng.randrange(10**6)}" for _ in range(50 + i)), shared])) for i in range(4)]
-    got = passages.repeated_passages(docs_of(rows)).where("kind = 'paragraph'").collect()
-    assert {r.doc_id for r in got} == {1, 2, 3} and sum(r.n_words for r in got if r.doc_id == 3) > 200
+    rows = [(i, " ".join([*(f"u{rng.randrange(10**6)}" for _ in range(50 + i)), shared, *(f"u{rng.randrange(10**6)}" for _ in range(20))])) for i in range(4)]
+    got = passages.repeated_passages(docs_of(rows)).where("kind = 'passage'").collect()
+    assert {r.doc_id for r in got} == {1, 2, 3} and all(r.component_id is not None for r in got)
+    for i, words in spans_of(rows, got).items():
+        assert all(covered == (i > 0 and w[0] == "s") for w, covered in words)
+
+
+def test_every_copy_of_a_passage_is_covered(docs_of):
+    rng = random.Random(31)
+    filler = lambda n: [f"f{rng.randrange(10**7)}" for _ in range(n)]
+    passage = [f"p{i}x{rng.randrange(10**6)}" for i in range(60)]
+    rows = [(1, " ".join(filler(40) + passage + filler(20))), (2, " ".join(filler(40) + passage + filler(70) + passage + filler(30)))]
+    rows += [(3, " ".join(filler(30) + [*passage[:50]] + filler(30))), (4, "once " * 40), (5, "echo " * 4000), (6, "echo " * 900)]
+    got = passages.repeated_passages(docs_of(rows)).collect()
+    covered = spans_of(rows, [r for r in got if r.kind == "passage"])
+    assert sum(c for _, c in covered[1]) == 0 and all(c == (w[0] == "p") for i in (2, 3) for w, c in covered[i])
+    assert all(c for _, c in covered[6]) and [c for _, c in covered[5]].count(False) == passages.WINDOW and not any(c for _, c in covered[4])
+
+
+def test_windows_that_differ_at_an_end_are_linked_and_verified(docs_of):
+    rng = random.Random(41)
+    found = 0
+    for n in range(12):
+        base = [f"b{n}x{rng.randrange(10**6)}" for _ in range(70)]
+        other = [*base[:20], f"e{n}", *base[21:55], f"g{n}", *base[56:]]  # 34 equal words in a row
+        rows = [(1, "\n".join([" ".join(f"f{rng.randrange(10**6)}" for _ in range(35)), " ".join(base)])), (2, " ".join([*(f"h{rng.randrange(10**6)}" for _ in range(40)), *other]))]
+        for r in passages.repeated_passages(docs_of(rows)).where("kind = 'passage'").collect():
+            part = dict(rows)[r.doc_id].encode()[r.start : r.end].decode()
+            assert r.doc_id == 2 and len(set(part.split()) & set(base)) >= 0.9 * len(part.split())
+            found += 1
+    assert found
 
 
 def test_long_near_copies_are_found_whole(docs_of):
@@ -203,7 +245,7 @@ def test_long_near_copies_are_found_whole(docs_of):
         a, b = shingles_of(" ".join(base), 5), shingles_of(" ".join(near), 5)
         assert 80 * len(a | b) <= 100 * len(a & b) < 85 * len(a | b)
         rows += [(n, " ".join(base)), (10 + n, " ".join(near))]
-    rows.append((20, " ".join(f"u{rng.randrange(10**6)}" for _ in range(125))))  # its one part is nearly the whole
+    rows.append((20, " ".join(f"u{rng.randrange(10**6)}" for _ in range(125))))
     got = passages.repeated_passages(docs_of(rows)).where("kind = 'paragraph'").collect()
     found = {(r.doc_id, r.keep_doc_id): r for r in sorted(got, key=lambda r: r.n_words)}
     assert set(found) == {(10, 0), (11, 1), (12, 2)}
@@ -222,13 +264,31 @@ def test_short_lines_in_a_row_are_a_paragraph(docs_of):
 
 @settings(max_examples=100, deadline=None)
 @given(st.integers(0, 80), st.integers(0, 80), st.integers(0, 10**6))
-def test_fifty_common_words_share_an_anchored_block(before, other, seed):
+def test_fifty_common_words_share_a_window(before, other, seed):
     rng = np.random.default_rng(seed)
     draw = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
-    shared = draw(passages.BLOCK + passages.SPREAD - 1)
+    shared = draw(passages.WINDOW + passages.SPREAD - 1)
     a, b = np.concatenate([draw(before), shared, draw(other)]), np.concatenate([draw(other), shared, draw(before)])
-    assert set(passages.anchors(a)[1].tolist()) & set(passages.anchors(b)[1].tolist())
-    assert len(passages.anchors(draw(passages.BLOCK - 1))[0]) == 0 and len(passages.anchors(draw(passages.BLOCK))[0]) == 1
+    assert set(passages.windows(a)[1].tolist()) & set(passages.windows(b)[1].tolist())
+    assert len(passages.windows(draw(passages.WINDOW - 1))[0]) == 0 and len(passages.windows(draw(passages.WINDOW))[0]) == 1
+
+
+def test_minhash_recall_and_keys():
+    rng = np.random.default_rng(5)
+    bands, rows = passages.tune(0.8)
+    met, same = 0, 0.0
+    for _ in range(300):
+        n = int(rng.integers(40, 120))
+        c = -(-n * 8 // 9)  # a Jaccard of 0.8
+        x = rng.integers(0, 1 << 32, 2 * n, dtype=np.uint64).astype(np.uint32)
+        h, at = np.concatenate([x[:n], x[:c], x[n : 2 * n - c]]), np.array([0, n])
+        low = passages.minhash(h, at, bands * rows)
+        want = (h[:n, None] * passages._PLANES[0][: bands * rows] + passages._PLANES[1][: bands * rows]).min(0)
+        assert np.array_equal(low[:, 0], want)
+        same += (low[:, 0] == low[:, 1]).mean() - c / (2 * n - c)
+        keys = passages.band_keys(low, bands, rows)
+        met += (keys[:, 0] == keys[:, 1]).any()
+    assert met >= 0.985 * 300 and abs(same / 300) < 0.02
 
 
 def test_passages_across_lines(docs_of, monkeypatch):
@@ -244,7 +304,7 @@ def test_passages_across_lines(docs_of, monkeypatch):
     text = dict(rows)
     for r in got:
         part = text[r.doc_id].encode()[r.start : r.end].decode()
-        assert part in shared and len(part.split()) == r.n_words >= passages.BLOCK and r.keep_doc_id < r.doc_id
+        assert part == shared and len(part.split()) == r.n_words and r.keep_doc_id < r.doc_id
 
 
 def test_repeated_rows_repeat_their_paragraphs(docs_of):
