@@ -1,7 +1,8 @@
 """Substring dedup: near-duplicate paragraphs by MinHash banding, removed by connected components.
 
 Two kinds of paragraphs are compared.  Those of the layout are lines of LEAST words, and shorter lines in a row taken
-together, whole whatever their length.  Windows are overlapping paragraphs of WINDOW words that do not heed line ends, for
+together, whole whatever their length; one of over LONGEST words is also cut at content-defined words, and its parts are
+compared beside it.  Windows are overlapping paragraphs of WINDOW words that do not heed line ends, for
 passages that cross them or lie inside a longer line.  They begin at anchors: of every SPREAD consecutive shingles the
 one with the least hash, so two texts that share WINDOW + SPREAD - 1 words in a row share a whole window.
 
@@ -29,14 +30,15 @@ from quarrion.llm.common import join_groups, map_texts, slim, small_batches, sto
 from quarrion.llm.graph import components
 from quarrion.llm.pairing import CHUNK_KEYS, candidate_edges, verified_edges
 
-#: Words that a paragraph of the layout must have to count.
-LEAST = 30
+#: Words that a paragraph of the layout must have to count, words of one that is not cut as well, and of a cut part at least.
+LEAST, LONGEST, PART = 30, 120, 40
 SHINGLE, NUM, DEN = 5, 80, 100
 RECALL, MOST_HASHES = 0.995, 128
 #: Words of a window, shingles of which one is an anchor (50 words in a row always hold a window), rows of its band.
 WINDOW, SPREAD, ROWS = 32, 19, 3
 #: Windows of a bucket to aim at; a window has about WINDOW_BYTES bytes of text to itself.
 BUCKET_WINDOWS, WINDOW_BYTES = 1 << 18, 60
+_CUT = np.uint64(31)  # a word whose hash has these bits clear may begin a part
 
 
 def tune(similarity: float, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -51,10 +53,11 @@ def tune(similarity: float, recall: float = RECALL, most: int = MOST_HASHES) ->
     raise ValueError("no banding within so many hashes reaches the recall")
 
 
-def paragraphs(t: tv.Texts, i: int) -> list[tuple[int, int]]:
+def paragraphs(t: tv.Texts, i: int, words: np.ndarray) -> list[tuple[int, int]]:
     """(first word, end word) of the paragraphs of text i, of LEAST words at least.
 
-    Lines of fewer words are taken together up to the next longer line, or to a blank line once they have LEAST words.
+    Lines of fewer words are taken together up to the next longer line, or to a blank line once they have LEAST words.  A
+    paragraph of over LONGEST words comes before its parts.
     """
     lo, hi = int(t.first[i]), int(t.first[i + 1])
     if hi - lo < LEAST:
@@ -67,7 +70,21 @@ def paragraphs(t: tv.Texts, i: int) -> list[tuple[int, int]]:
             whole += [(since, a), (a, b)]
             since = b
     whole.append((since, hi))
-    return [(a, b) for a, b in whole if b - a >= LEAST]
+    out = []
+    for a, b in whole:
+        if b - a >= LEAST:
+            out.append((a, b))
+        if b - a > LONGEST:
+            marks = np.flatnonzero(words[a:b] & _CUT == 0) + a
+            at = a
+            while b - at > LONGEST:
+                after = marks[np.searchsorted(marks, at + PART) :]
+                to = int(after[0]) if len(after) and after[0] <= at + LONGEST else at + LONGEST
+                out.append((at, to))
+                at = to
+            if b - at >= LEAST:
+                out.append((at, b))
+    return out
 
 
 class Contents:
@@ -86,9 +103,9 @@ class Contents:
         return tv.mix((s[b] - s[a]) * self.down[a] + (b - a).astype(np.uint64)).view(np.int64)
 
 
-def _layout(t: tv.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _layout(t: tv.Texts, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, number, first and end word of the paragraphs of a chunk."""
-    found = [(i, n, a, b) for i in range(len(t)) for n, (a, b) in enumerate(paragraphs(t, i))]
+    found = [(i, n, a, b) for i in range(len(t)) for n, (a, b) in enumerate(paragraphs(t, i, words))]
     return tuple(np.array([f[j] for f in found], np.int64) for j in range(4))
 
 
@@ -98,8 +115,9 @@ PARAGRAPHS = "doc_id bigint, paragraph int, start bigint, end bigint, n_words in
 def _listed(chunks) -> Iterator[dict]:
     for batch, texts in chunks:
         t = tv.split(texts)
-        contents = Contents(tv.word_hashes(t))
-        i, n, a, b = _layout(t)
+        words = tv.word_hashes(t)
+        contents = Contents(words)
+        i, n, a, b = _layout(t, words)
         if len(i):
             yield {"doc_id": batch.column(0).to_numpy()[i], "paragraph": n, "start": t.starts[a] - t.offsets[i], "end": t.ends[b - 1] - t.offsets[i], "n_words": b - a, "class": contents.of(a, b), "mark": contents.of(a, b, 1)}
 
@@ -135,7 +153,7 @@ def paragraph_signatures(k: int, bands: int, rows: int):
     def run(ids: np.ndarray, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, None]]:
         t = tv.split(texts)
         words = tv.word_hashes(t)
-        _, _, a, b = _layout(t)
+        _, _, a, b = _layout(t, words)
         if not len(a):
             return
         h, contents = _flat(words, k), Contents(words)
@@ -357,14 +375,16 @@ def _grown(ends: DataFrame, around: DataFrame, total: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, word bigint, from bigint, to bigint, from_byte bigint, to_byte bigint").dropDuplicates(["doc_id", "word"])
 
 
-def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
+def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, num: int = NUM, den: int = DEN, within: bool = False) -> DataFrame:
     """One row for each paragraph or passage that repeats an earlier one and would be removed.
 
     kind (``paragraph`` of the layout or ``passage`` of windows), doc_id, start and end (bytes of the text's UTF-8 form),
-    n_words, keep_doc_id (an earlier document with it, or the same one), for paragraphs their number among the document's
+    n_words, keep_doc_id (the first document with it), for paragraphs their number among the document's
     paragraphs of LEAST words, and component_id: the class, a hash of the words, that names the component (for a passage,
     that of its first window).  What stays is the first of each component by document and place: keep_start, and
-    keep_paragraph if it is one of the layout.  A repetition within a document counts if it does not overlap what stays.  The two kinds may overlap.
+    keep_paragraph if it is one of the layout.  A document's repetition of itself counts only if ``within`` is set, and then if
+    it does not overlap what stays; of what an earlier document holds every copy counts.  The two kinds may overlap, and
+    so do a paragraph and its parts.
 
     Null, empty and short texts and rows with a null id give no rows; a row that repeats another (id and text) gives the same
     paragraphs again; no rows give no rows; other columns are not read.  Paragraphs of fewer than LEAST words are found only
@@ -397,7 +417,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = stored(classes.join(linked, "class", "left").withColumn("component", F.coalesce("component", "class")), "joined")
     heads = joined.groupBy("component").agg(F.min("first").alias("keep"), F.sum("size").alias("all"))
     groups = stored(joined.join(heads.where("all > 1"), "component").select("class", "size", "component", "keep", "first"), "repeated")
-    repeats = (F.col("doc_id") != F.col("keep.doc_id")) | (F.col("start") >= F.col("keep.end"))
+    repeats = (F.col("doc_id") != F.col("keep.doc_id")) | (F.lit(within) & (F.col("start") >= F.col("keep.end")))
     paragraph = join_groups(listed, groups, ["class"], "size", total).where(F.col("component").isNotNull() & repeats)
     paragraph = paragraph.select(F.lit("paragraph").alias("kind"), "doc_id", "paragraph", "start", "end", "n_words", "keep", "component")
     window = join_groups(members, groups, ["class"], "size", total).where(F.col("component").isNotNull() & repeats)

@@ -216,8 +216,10 @@ def test_every_copy_of_a_passage_is_covered(docs_of):
     passage = [f"p{i}x{rng.randrange(10**6)}" for i in range(60)]
     rows = [(1, " ".join(filler(40) + passage + filler(20))), (2, " ".join(filler(40) + passage + filler(70) + passage + filler(30)))]
     rows += [(3, " ".join(filler(30) + [*passage[:50]] + filler(30))), (4, "once " * 40), (5, "echo " * 4000), (6, "echo " * 900)]
-    got = passages.repeated_passages(docs_of(rows)).collect()
+    across = {r.doc_id for r in passages.repeated_passages(docs_of(rows)).collect()}
+    got = passages.repeated_passages(docs_of(rows), within=True).collect()
     covered = spans_of(rows, [r for r in got if r.kind == "passage"])
+    assert across == {2, 3, 6} and {r.doc_id for r in got} == {2, 3, 5, 6}
     assert sum(c for _, c in covered[1]) == 0 and all(c == (w[0] == "p") for i in (2, 3) for w, c in covered[i])
     assert all(c for _, c in covered[6]) and [c for _, c in covered[5]].count(False) == passages.WINDOW and not any(c for _, c in covered[4])
 
