@@ -1,14 +1,15 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap if they share a line; each shared line pairs the first document that holds it (the least id) with
-every later one, so a line in n documents gives n - 1 pairs however common it is: a rare line finds its few holders, and a
-common one needs no cap.  Each pair is aligned by patience diff: lines that occur once in both documents anchor the
-alignment, in the longest increasing order, and the gaps between anchors are aligned the same way.  Runs of aligned lines
-that hold enough words are deleted from the later document.
-
-The first holder of a line need not hold what follows it, or may hold it in another order.  So each shortest run of lines
-that holds enough words, short and blank lines included, is looked up as well, and deleted from every document but the first
-that has it.  An aligned block of any two documents consists of such runs, so none that an earlier document holds stays.
+Documents overlap if they share a block: a run of lines with BLOCK_WORDS words.  The index holds a hash of every shortest
+such run, a long line alone and short or blank lines together, and pairs each document with the first holder (the least
+id) of each of its runs.  So a run in n documents gives n - 1 pairs however common it is: a rare one finds its few holders,
+and a common one needs no cap.
+
+Each pair is aligned by patience diff: lines that occur once in both documents anchor the alignment, in the longest increasing
+order, and the gaps between anchors are aligned the same way.  Runs of aligned lines that hold enough words are deleted from
+the later document.  Patience diff leaves out blocks that stand in another order, and gaps without a line of their own; what
+the pair still shares there is aligned as moved blocks, by the runs of both.  So no block that any earlier document holds
+stays, and none goes that no earlier document holds.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 from quarrion.llm import textvec as tv
 from quarrion.llm.common import arrow_schema, join_groups, map_texts, slim, small_batches, stored
 
-#: Words that a line must have to pair documents, and words of an aligned block to delete at least.
-LINE_WORDS, BLOCK_WORDS = 4, 8
+#: Words of an aligned block to delete at least.
+BLOCK_WORDS = 8
+#: Pairs with one earlier document that a task gets to align at most, about.
+SHARE = 5000
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -131,43 +134,49 @@ def shortest_runs(lines: np.ndarray, words: np.ndarray, least: int = BLOCK_WORDS
     return a, b - a, tv.mix((whole[b] - whole[a]) * down[a] + (b - a).astype(np.uint64)).view(np.int64)
 
 
-def repeated_runs(known: DataFrame) -> DataFrame:
-    """(doc_id, earlier, removed): lines of each document in runs that an earlier one holds, and the runs' first holders."""
-    small_batches(known.sparkSession)
+def moved_blocks(lines: np.ndarray, words: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which lines lie in a run whose hash is among ``held`` (sorted)."""
+    first, n, run = shortest_runs(lines, words)
+    at = np.searchsorted(held, run)
+    hit = held[np.minimum(at, len(held) - 1)] == run if len(held) else np.zeros(len(run), bool)
+    edge = np.zeros(len(lines) + 1, np.int64)
+    np.add.at(edge, first[hit], 1)
+    np.add.at(edge, (first + n)[hit], -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def aligned(before: np.ndarray, held: np.ndarray, lines: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Numbers of the lines of a later document in blocks that align with an earlier one, whose lines and runs are given."""
+    gone = moved_blocks(lines, words, held)
+    for at, n in common_blocks(patience(before.tolist(), lines.tolist()), words.tolist()):
+        gone[at : at + n] = True
+    return np.flatnonzero(gone)
 
-    def find(batches):
-        to = arrow_schema("doc_id bigint, run bigint, first bigint, n bigint")
-        for batch in batches:
-            for i in range(batch.num_rows):
-                lines, words = (np.array(batch.column(c)[i].values, np.int64) for c in (1, 2))
-                first, n, run = shortest_runs(lines, words)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(run), batch.column(0)[i].as_py())), pa.array(run), pa.array(first), pa.array(n)], schema=to)
 
-    held = stored(known.select("doc_id", "lines", "words").mapInArrow(find, "doc_id bigint, run bigint, first bigint, n bigint"), "runs")
-    shared = held.groupBy("run").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("_last"), F.count(F.lit(1)).alias("holders")).where(F.col("earlier") < F.col("_last")).drop("_last")
-    found = join_groups(held, stored(shared, "shared_runs"), ["run"], "holders", held.count()).where(F.col("earlier") < F.col("doc_id"))
-    found = found.groupBy("doc_id").agg(F.collect_set("earlier").alias("earlier"), F.collect_list("first").alias("first"), F.collect_list("n").alias("n"))
+def pairs_of(known: DataFrame) -> DataFrame:
+    """Distinct (earlier, doc_id): each document with the first holders of its runs; ``known`` has a row for each id."""
+    small_batches(known.sparkSession)
 
-    def cover(batches):
-        to = arrow_schema("doc_id bigint, earlier array<bigint>, removed array<bigint>")
+    def find(batches):
         for batch in batches:
-            removed = []
+            docs, runs = [], []
             for i in range(batch.num_rows):
-                first, n = (np.array(batch.column(c)[i].values, np.int64) for c in (2, 3))
-                open_ = np.zeros(int((first + n).max()) + 1, np.int64)
-                np.add.at(open_, first, 1)
-                np.add.at(open_, first + n, -1)
-                removed.append(np.flatnonzero(np.cumsum(open_)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(to.field(1).type), pa.array(removed, pa.list_(pa.int64()))], schema=to)
+                run = np.unique(shortest_runs(*(np.array(batch.column(c)[i].values, np.int64) for c in (1, 2)))[2])
+                runs.append(run)
+                docs.append(np.full(len(run), batch.column(0)[i].as_py(), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(runs))], names=["doc_id", "run"])
 
-    return found.mapInArrow(cover, "doc_id bigint, earlier array<bigint>, removed array<bigint>")
+    held = stored(known.select("doc_id", "lines", "words").mapInArrow(find, "doc_id bigint, run bigint"), "runs")
+    shared = held.groupBy("run").agg(F.min("doc_id").alias("earlier"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    found = join_groups(held, stored(shared, "shared"), ["run"], "holders", held.count())
+    return stored(found.where(F.col("earlier") < F.col("doc_id")).select("earlier", "doc_id").distinct(), "pairs")
 
 
-def aligned_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
+def aligned_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row: doc_id, n_lines, n_removed, removed (line numbers from 0, ascending), n_partners.
 
-    A line is removed if a patience alignment with the first holder of one of the document's lines (a smaller id) puts it in
-    a common block; with ``runs``, also if it lies in a run of BLOCK_WORDS words that any earlier document holds.  Lines are
+    A line is removed if it lies in a block of BLOCK_WORDS words that aligns with a document of a smaller id; ``n_partners``
+    counts the documents with which it was aligned.  Lines are compared by their words with A-Z in lower case and are
     cut at line feeds; a null or empty text has one empty line.  Rows with a null id, and equal ids beside the first, take no
     part in pairs beyond their id: rows that share an id are aligned as the first of them by content and are reported alike.
     No rows give no rows; other columns are not read.
@@ -175,32 +184,31 @@ def aligned_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = slim(df, id_col, text_col)
     table = stored(line_table(docs), "lines")
     known = stored(table.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("lines", "words")).alias("x")).select("doc_id", "x.*"), "documents")
-    held = known.select("doc_id", F.explode(F.arrays_zip("lines", "words")).alias("x")).where(F.col("x.words") >= LINE_WORDS)
-    held = held.select(F.col("x.lines").alias("line"), "doc_id").distinct()
-    shared = stored(held.groupBy("line").agg(F.min("doc_id").alias("earlier"), F.count(F.lit(1)).alias("holders")).where("holders > 1"), "shared")
-    total = known.count()
-    pairs = join_groups(held, shared, ["line"], "holders", total).where(F.col("earlier") < F.col("doc_id")).select("earlier", "doc_id").distinct()
-    pairs = stored(pairs, "pairs")
-    later = pairs.join(known, "doc_id")
-    counts = pairs.groupBy("earlier").agg(F.count(F.lit(1)).alias("n"))
-    first = known.select(F.col("doc_id").alias("earlier"), F.col("lines").alias("before")).join(counts, "earlier")
-    both = join_groups(later, first, ["earlier"], "n", total).select("doc_id", "lines", "words", "before", "earlier")
-    schema = "doc_id bigint, earlier array<bigint>, removed array<bigint>"
+    pairs = pairs_of(known)
+    # an earlier document of many pairs is given to several tasks; only ids and counts are broadcast
+    counts = pairs.groupBy("earlier").agg(F.count(F.lit(1)).alias("n")).withColumn("shares", F.ceil(F.col("n") / SHARE).cast("bigint"))
+    counts = stored(counts, "partners")
+    dealt = join_groups(pairs, counts, ["earlier"], "n", pairs.count()).withColumn("share", F.pmod(F.xxhash64("doc_id"), F.col("shares")))
+    first = known.select(F.col("doc_id").alias("earlier"), F.col("lines").alias("before"), F.col("words").alias("words_before")).join(counts.hint("merge"), "earlier")
+    first = first.select("earlier", "before", "words_before", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)).alias("share"))
+    later = dealt.select("earlier", "share", "doc_id").join(known.hint("merge"), "doc_id")
+    both = later.join(first.hint("merge"), ["earlier", "share"]).select("doc_id", "lines", "words", "before", "words_before", "earlier")
+    schema = "doc_id bigint, removed array<bigint>"
 
     def align(batches):
         to = arrow_schema(schema)
+        last, held = None, np.zeros(0, np.int64)
         for batch in batches:
             removed = []
-            for lines, words, before in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                removed.append([n for at, k in common_blocks(patience(before, lines), words) for n in range(at, at + k)])
-            earlier = pa.array([[e] for e in batch.column(4).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), earlier, pa.array(removed, pa.list_(pa.int64()))], schema=to)
+            for i in range(batch.num_rows):
+                lines, words, before, words_before = (np.array(batch.column(c)[i].values, np.int64) for c in (1, 2, 3, 4))
+                if (earlier := batch.column(5)[i].as_py()) != last:  # rows come in order of the earlier document
+                    last, held = earlier, np.unique(shortest_runs(before, words_before)[2])
+                removed.append(aligned(before, held, lines, words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.list_(pa.int64()))], schema=to)
 
     small_batches(df.sparkSession)
-    gone = both.mapInArrow(align, schema)
-    gone = gone.unionByName(repeated_runs(known)) if runs else gone
-    together = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-    gone = gone.groupBy("doc_id").agg(F.array_sort(together("removed")).alias("removed"), F.size(together("earlier")).cast("bigint").alias("n_partners"))
+    gone = both.mapInArrow(align, schema).groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"), F.count(F.lit(1)).alias("n_partners"))
     out = table.select("doc_id", F.size("lines").cast("bigint").alias("n_lines")).join(gone, "doc_id", "left")
     none = F.array().cast("array<bigint>")
     removed = F.coalesce("removed", none)
@@ -208,7 +216,10 @@ def aligned_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def delete_lines(df: DataFrame, aligned: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) without the removed lines; ids must be unique, a null text stays null."""
+    """(doc_id, text) without the removed lines; a null text stays null, rows with a null id stay as they are.
+
+    Rows that share an id lose the same lines, so ids should be unique; no rows give no rows.
+    """
     gone = aligned.where("n_removed > 0").select("doc_id", "removed")
     rows = slim(df, id_col, text_col).join(gone, "doc_id", "left")
     lines = F.split("text", "\n", -1)

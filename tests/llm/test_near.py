@@ -1,6 +1,6 @@
 import random
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -340,63 +340,54 @@ def test_patience_on_unique_lines_is_a_longest_common_subsequence():
         assert len(linediff.patience(a, b)) == table[20][20]
 
 
-def brute_lines(rows):
+def brute_lines(rows, partners):
+    """Each document against every earlier one: runs of lines that both hold, and that the alignments lie within them."""
     text = {}
     for i, t in rows:
         text.setdefault(i, [" ".join(words_of(x)) for x in (t or "").split("\n")])
-    first, pairs = {}, defaultdict(set)
-    for i in sorted(text):
-        for x in text[i]:
-            if len(x.split()) >= linediff.LINE_WORDS:
-                first.setdefault(x, i)
-                if first[x] != i:
-                    pairs[i].add(first[x])
+    size = {i: [len(x.split()) for x in t] for i, t in text.items()}
     out = []
     for i, _ in rows:
-        gone = set()
-        for e in pairs[i]:
-            for at, n in linediff.common_blocks(linediff.patience(text[e], text[i]), [len(x.split()) for x in text[i]]):
-                gone |= set(range(at, at + n))
-        out.append((i, len(text[i]), len(gone), sorted(gone), len(pairs[i])))
+        gone, aligned, shared = set(), set(), set()
+        for e in text:
+            if e >= i:
+                continue
+            for at, n in linediff.common_blocks(linediff.patience(text[e], text[i]), size[i]):
+                aligned |= set(range(at, at + n))
+            runs = {tuple(text[e][a:b]) for a in range(len(text[e])) for b in range(a + 1, len(text[e]) + 1) if sum(size[e][a:b]) >= linediff.BLOCK_WORDS}
+            for a in range(len(text[i])):
+                for b in range(a + 1, len(text[i]) + 1):
+                    if tuple(text[i][a:b]) in runs:
+                        gone |= set(range(a, b))
+                        shared.add(e)
+        assert aligned <= gone and (partners[i] <= len(shared)) and (partners[i] > 0) == bool(gone)
+        out.append((i, len(text[i]), len(gone), sorted(gone)))
     return sorted(out)
 
 
-def test_lines_against_brute_force(docs_of):
+def test_lines_against_brute_force(docs_of, monkeypatch):
+    monkeypatch.setattr(linediff, "SHARE", 9)
     rng = random.Random(7)
     pool = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(1, 9))) for _ in range(30)] + [""]
     common = "this very common line stands in almost every document of the table"
     rows = [(i, "\n".join([common] * rng.randrange(2) + [rng.choice(pool) for _ in range(rng.randrange(12))])) for i in range(60)]
     rows += [(100, None), (101, "One Line\r\nof Text"), (102, "x" * 100_000)]
     got = linediff.aligned_lines(docs_of(rows, extra=True).repartition(5))
-    assert sorted(tuple(r) for r in got.collect()) == brute_lines(rows)
+    found = got.collect()
+    assert sorted(tuple(r)[:4] for r in found) == brute_lines(rows, {r.doc_id: r.n_partners for r in found})
     cut = {r.doc_id: r.text for r in linediff.delete_lines(docs_of(rows), got).collect()}
-    for r in got.collect():
+    for r in found:
         was = dict(rows)[r.doc_id]
         assert cut[r.doc_id] == (None if was is None else "\n".join(x for n, x in enumerate(was.split("\n")) if n not in r.removed) if r.n_removed else was)
 
 
 def test_blocks_of_any_two_documents_go(docs_of):
     x, y = "five words in line x", "five words in line y"
-    rows = [(1, x), (2, y), (3, f"{x}\n{y}"), (4, f"{x}\n{y}"), (5, f"{y}\n\n{x}"), (6, "a\n{y}\n\n{x}".replace("{y}", y).replace("{x}", x))]
-    got = {r.doc_id: r for r in linediff.aligned_lines(docs_of(rows), runs=True).collect()}
-    assert {i: r.removed for i, r in got.items()} == {1: [], 2: [], 3: [], 4: [0, 1], 5: [], 6: [1, 2, 3]}
-    rng = random.Random(17)
-    pool = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(1, 9))) for _ in range(15)] + [""]
-    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 12)))) for i in range(40)]
-    got = {r.doc_id: set(r.removed) for r in linediff.aligned_lines(docs_of(rows).repartition(3), runs=True).collect()}
-    text = {i: [" ".join(words_of(x)) for x in t.split("\n")] for i, t in rows}
-    size = lambda lines: sum(len(x.split()) for x in lines)
-    for i in text:
-        want, aligned = set(), set()
-        for e in range(i):
-            for at, n in linediff.common_blocks(linediff.patience(text[e], text[i]), [len(x.split()) for x in text[i]]):
-                aligned |= set(range(at, at + n))
-            runs = {tuple(text[e][a:b]) for a in range(len(text[e])) for b in range(a + 1, len(text[e]) + 1)}
-            for a in range(len(text[i])):
-                for b in range(a + 1, len(text[i]) + 1):
-                    if size(text[i][a:b]) >= linediff.BLOCK_WORDS and tuple(text[i][a:b]) in runs:
-                        want |= set(range(a, b))
-        assert aligned <= want == got[i]
+    a, p, q, b = (f"line {n} has five words" for n in "apqb")
+    rows = [(1, x), (2, y), (3, f"{x}\n{y}"), (4, f"{x}\n{y}"), (5, f"{y}\n\n{x}"), (6, f"a\n{y}\n\n{x}")]
+    rows += [(10, "\n".join([a, p, q, p, q, b])), (11, "\n".join(["c", p, q, p, q, "d"])), (12, "\n".join([p, q, a, b, q, p]))]  # no line of its own between the ends; another order
+    got = {r.doc_id: r.removed for r in linediff.aligned_lines(docs_of(rows)).collect()}
+    assert got == {1: [], 2: [], 3: [], 4: [0, 1], 5: [], 6: [1, 2, 3], 10: [], 11: [1, 2, 3, 4], 12: [0, 1, 4, 5]}
 
 
 def test_lines_odd_rows(docs_of, odd_rows):
