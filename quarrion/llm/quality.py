@@ -144,11 +144,13 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, sample: int = SAMPLE) -> Model:
     """``docs`` has doc_id and text, ``labels`` doc_id and a 0/1 column; at most ``sample`` labelled rows are learned from.
 
-    Null labels and ids do not count; of several labels of a row the largest holds.
+    Null labels and ids do not count; of several labels of an id the largest holds, of several texts the least, and a null
+    one counts as empty.  Without labels the score is one half.
     """
     marks = labels.select(labels["doc_id"].cast("bigint").alias("doc_id"), labels[label_col].cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
     picked = bounded_sample(marks.groupBy("doc_id").agg(F.max("label").alias("label")), "doc_id", sample)
-    rows = slim(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label")
+    rows = slim(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("doc_id", "text", "label")
 
     def run(chunks):
         for batch, texts in chunks:

@@ -4,8 +4,10 @@ A word's input is its hashed word vector beside the mean of its hashed character
 of words go through a GRU in each direction, attention pools the states, and a linear layer scores the window.  A text
 has the score of its worst window: every window of the whole text is scored.
 
-Training is numpy only: first all windows carry their text's label, then only each text's worst window does (multiple
-instance learning).  Log-odds are calibrated on texts that training did not see, and to the labels' true share.
+Training is numpy only, over every window of the sampled texts: first all windows carry their text's label, then only each
+text's worst window does (multiple instance learning).  The first number of a word's and of a 4-gram's vector starts at the
+log-odds of the label given that it occurs in a text, less a standard error, so that a few labels are enough to learn from.
+Log-odds are calibrated on texts that training did not see, and to the labels' true share.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrion.llm import textvec as tv
@@ -25,9 +27,12 @@ WORD_BITS, CHAR_BITS, GRAM = 15, 15, 4
 DIM, HIDDEN, ATTEND = 8, 8, 8
 #: Words of a window, and words from one window's start to the next.
 WINDOW, STRIDE = 24, 18
-#: Labelled texts of each label that a model learns from at most, and the windows that such a text may have.
-SAMPLE, TRAIN_WINDOWS = 1500, 64
-WHOLE_EPOCHS, WORST_EPOCHS, BATCH = 3, 14, 256
+#: A model learns from so many texts of each label at most, of so many bytes together, none of more than TEXT_BYTES.
+SAMPLE, SAMPLE_BYTES, TEXT_BYTES = 1500, 8 << 20, 2 << 20
+#: Epochs over all windows and over worst ones, of these so many steps at least: few texts are gone over more often.
+WHOLE_EPOCHS, WORST_EPOCHS, LEAST_STEPS, BATCH = 1, 14, 100, 256
+#: Texts that must hold a word or 4-gram for its log-odds to count, and what is added to their number to shrink them.
+PRIOR_TEXTS, SHRINK = 3, 4
 _WORDS = 1 << 15  # words that are scored at once
 
 
@@ -171,9 +176,8 @@ def layout(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.where(live, at, 0), live
 
 
-def worst(net: Net, words: Words, first: np.ndarray) -> np.ndarray:
-    """The largest log-odds of any window of each text; words are embedded for a bounded number of windows at once."""
-    starts, ends, bounds = windows(first)
+def window_scores(net: Net, words: Words, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Log-odds of windows in order of their starts; words are embedded for a bounded number of windows at once."""
     z = []
     for i in range(0, len(starts), _WORDS // STRIDE):
         s, e = starts[i : i + _WORDS // STRIDE], ends[i : i + _WORDS // STRIDE]
@@ -181,7 +185,13 @@ def worst(net: Net, words: Words, first: np.ndarray) -> np.ndarray:
         part = Words(words.ids[lo:hi], words.grams[words.first[lo] : words.first[hi]], words.first[lo : hi + 1] - words.first[lo])
         at, live = layout(s - lo, e - lo)
         z.append(net.forward(net.embed(part) if hi > lo else np.zeros((1, 2 * DIM), np.float32), at, live))
-    return np.maximum.reduceat(np.concatenate(z), bounds[:-1]).astype(np.float64)
+    return np.concatenate(z)
+
+
+def worst(net: Net, words: Words, first: np.ndarray) -> np.ndarray:
+    """The largest log-odds of any window of each text."""
+    starts, ends, bounds = windows(first)
+    return np.maximum.reduceat(window_scores(net, words, starts, ends), bounds[:-1]).astype(np.float64)
 
 
 def _joined(texts: list[Words]) -> tuple[Words, np.ndarray]:
@@ -224,6 +234,19 @@ class _Steps:
         self._rows(net.char, self.char, part.grams, dx[owner, DIM:] / n[owner, None])
 
 
+def log_odds(ids: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
+    """What the occurrence of each of so many features in a text says of its label: log-odds a standard error nearer to
+    zero, shrunk where few texts hold the feature."""
+    n = np.zeros((2, size))
+    for i, y in zip(ids, labels, strict=True):
+        n[int(y), np.unique(i)] += 1
+    texts = np.array([(labels == 0).sum(), (labels == 1).sum()])
+    odds = np.log((n[1] + 0.5) / (texts[1] + 1)) - np.log((n[0] + 0.5) / (texts[0] + 1))
+    sure = np.sign(odds) * np.maximum(np.abs(odds) - np.sqrt(1 / (n[1] + 0.5) + 1 / (n[0] + 0.5)), 0)
+    held = n.sum(0)
+    return np.where(held >= PRIOR_TEXTS, sure * held / (held + SHRINK), 0).astype(np.float32)
+
+
 def train(texts: list[Words], labels: np.ndarray, share: float, seed: int = 7) -> Net:
     """Learn from texts with words; ``share`` is the share of label 1 among all labelled rows."""
     net, rng = Net.new(seed), np.random.default_rng(seed)
@@ -232,27 +255,28 @@ def train(texts: list[Words], labels: np.ndarray, share: float, seed: int = 7) -
         net.p["w"][:] = 0
         net.p["b"][:] = np.log(max(share, 1e-3) / max(1 - share, 1e-3))
         return net
-    own = labels[~aside].astype(np.float32)
-    words, first = _joined([t for t, x in zip(texts, aside, strict=True) if not x])
+    own, seen = labels[~aside].astype(np.float32), [t for t, x in zip(texts, aside, strict=True) if not x]
+    net.word[:, 0] = log_odds([t.ids for t in seen], own, len(net.word))
+    net.char[:, 0] = log_odds([t.grams for t in seen], own, len(net.char))
+    words, first = _joined(seen)
     starts, ends, bounds = windows(first)
-    at, live = layout(starts, ends)
     y = np.repeat(own, np.diff(bounds))
     steps = _Steps(net)
     weigh = lambda y: np.where(y > 0, 0.5 / max(y.mean(), 0.05), 0.5 / max(1 - y.mean(), 0.05)).astype(np.float32)
     for _ in range(WHOLE_EPOCHS):
-        order = rng.permutation(len(at))[: 64 * BATCH]
+        order = rng.permutation(len(starts))
         for i in range(0, len(order), BATCH):
             b = order[i : i + BATCH]
-            steps.step(words, at[b], live[b], y[b], weigh(y[b]))
-    for epoch in range(WORST_EPOCHS):
-        steps.rate = 0.01 * (1 - epoch / (2 * WORST_EPOCHS))
-        x = net.embed(words)
-        z = np.concatenate([net.forward(x, at[i : i + 2048], live[i : i + 2048]) for i in range(0, len(at), 2048)])
+            steps.step(words, *layout(starts[b], ends[b]), y[b], weigh(y[b]))
+    epochs = max(WORST_EPOCHS, -(-LEAST_STEPS * (BATCH // 4) // len(seen)))
+    for epoch in range(epochs):
+        steps.rate = 0.01 * (1 - epoch / (2 * epochs))
+        z = window_scores(net, words, starts, ends)
         pick = np.array([lo + int(np.argmax(z[lo:hi])) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)])
         order = rng.permutation(len(pick))
         for i in range(0, len(order), BATCH // 4):
             b = pick[order[i : i + BATCH // 4]]
-            steps.step(words, at[b], live[b], own[order[i : i + BATCH // 4]], np.ones(len(b), np.float32))
+            steps.step(words, *layout(starts[b], ends[b]), own[order[i : i + BATCH // 4]], np.ones(len(b), np.float32))
     if 0 < labels[aside].sum() < aside.sum():
         held, first = _joined([t for t, x in zip(texts, aside, strict=True) if x])
         a, c = platt(worst(net, held, first), labels[aside].astype(np.float64))
@@ -262,25 +286,32 @@ def train(texts: list[Words], labels: np.ndarray, share: float, seed: int = 7) -
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, sample: int = SAMPLE) -> Net:
-    """``docs`` has doc_id and text, ``labels`` doc_id and a 0/1 column; at most ``sample`` rows of each label are learned from,
-    of those only texts with words and at most TRAIN_WINDOWS windows.
+    """``docs`` has doc_id and text, ``labels`` doc_id and a 0/1 column.
 
-    Null labels and ids do not count; of several labels of a row the largest holds.
+    At most ``sample`` rows of each label are learned from, of SAMPLE_BYTES of text together; texts of over TEXT_BYTES take
+    no place in the sample.  Of these texts every window counts.  Null labels, ids and texts do not count; of several labels
+    of an id the largest holds, of several texts the least.  Without both labels the score is the labels' share.
     """
     marks = labels.select(labels["doc_id"].cast("bigint").alias("doc_id"), labels[label_col].cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
     marks = stored(marks.groupBy("doc_id").agg(F.max("label").alias("label")), "labels")
     share = marks.agg(F.avg("label")).first()[0]
-    picked = bounded_sample(marks, "doc_id", sample, "label")
-    rows = slim(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label")
+    docs = slim(docs, "doc_id", "text").where("text is not null")
+    sizes = docs.select("doc_id", F.octet_length("text").cast("bigint").alias("bytes")).where(F.col("bytes") <= TEXT_BYTES)
+    sizes = sizes.join(marks, "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.max("bytes").alias("bytes"))
+    picked = bounded_sample(stored(sizes, "sizes"), "doc_id", sample, "label")
+    sums = F.sum("bytes").over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    picked = picked.withColumn("sum", sums).where(F.col("sum") <= SAMPLE_BYTES).select("doc_id", "label")
+    rows = docs.where(F.octet_length("text") <= TEXT_BYTES).join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
     def run(chunks):
         for batch, texts in chunks:
             for i in range(len(texts)):
                 w, _ = inputs(texts.slice(i, 1))
-                if len(w.ids) and len(window_starts(len(w.ids))) <= TRAIN_WINDOWS:
+                if len(w.ids):
                     yield {"doc_id": batch.column(0).slice(i, 1), "label": batch.column(2).slice(i, 1), "ids": [w.ids.tobytes()], "grams": [w.grams.tobytes()], "first": [w.first.astype(np.int32).tobytes()]}
 
-    got = sorted(((r.doc_id, r.label, r.ids, r.grams, r["first"]) for r in map_texts(rows, run, "doc_id bigint, label int, ids binary, grams binary, first binary").toLocalIterator()), key=lambda r: (r[0], r[2]))
+    got = sorted(((r.doc_id, r.label, r.ids, r.grams, r["first"]) for r in map_texts(rows, run, "doc_id bigint, label int, ids binary, grams binary, first binary").toLocalIterator()), key=lambda r: r[0])
     texts = [Words(np.frombuffer(i, np.int32), np.frombuffer(g, np.int32), np.frombuffer(f, np.int32).astype(np.int64)) for _, _, i, g, f in got]
     return train(texts, np.array([r[1] for r in got], np.int64), min(max(share if share is not None else 0.5, 1e-3), 1 - 1e-3))
 

@@ -220,6 +220,80 @@ def test_batches_do_not_change_scores(monkeypatch, block):
     assert np.allclose(together, alone, atol=1e-5)
 
 
+def test_scores_against_a_plain_network():
+    """Every window of every text by the network's definition, word by word."""
+    rng = np.random.default_rng(3)
+    net = toxicity.Net.new()
+    net.p["a"][:], net.p["b"][:] = rng.normal(0, 1, net.p["a"].shape), 0.3
+    texts = ["Some words, here and there! " * 14, "", "one", "ä ö ü ß and a_very_long_word_in_between " * 9]
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def gram_ids(word):
+        b = bytes([32, *(c + 32 if 65 <= c <= 90 else c for c in word), 32])
+        ids, ok = tv.ngram_ids(np.frombuffer(b, np.uint8), toxicity.GRAM, toxicity.CHAR_BITS)
+        return ids[ok]
+
+    def score(text):
+        words, vectors = text.encode().split(), []
+        for w in words:
+            own = int(tv.word_hashes(tv.split(large(w.decode())))[0] >> np.uint64(64 - toxicity.WORD_BITS))
+            grams = gram_ids(w)
+            vectors.append(np.concatenate([net.word[own], net.char[grams].mean(0) if len(grams) else np.zeros(toxicity.DIM)]))
+        best = -np.inf
+        for s in toxicity.window_starts(len(words)):
+            states = {}
+            for d in "fb":
+                h, order = np.zeros(toxicity.HIDDEN), range(s, min(s + toxicity.WINDOW, len(words)))
+                for i in order if d == "f" else reversed(order):
+                    z, r, n = np.split(vectors[i] @ net.p["W" + d] + net.p["c" + d], 3)
+                    uz, ur, un = np.split(h @ net.p["U" + d], 3)
+                    z, r = sigmoid(z + uz), sigmoid(r + ur)
+                    h = (1 - z) * np.tanh(n + r * un) + z * h
+                    states.setdefault(i, []).append(h)
+            h = np.array([np.concatenate(states[i]) for i in sorted(states)]).reshape(-1, 2 * toxicity.HIDDEN)
+            e = np.exp(np.tanh(h @ net.p["A"] + net.p["a"]) @ net.p["v"])
+            best = max(best, float((e @ h / max(e.sum(), 1e-9)) @ net.p["w"] + net.p["b"][0]))
+        return best
+
+    got = toxicity.worst(net, *toxicity.inputs(large(*texts)))
+    assert np.allclose(got, [score(t) for t in texts], atol=1e-4)
+
+
+def test_log_odds_by_hand():
+    texts = [np.array([0, 1]), np.array([0, 1, 1]), np.array([0, 1]), np.array([0]), np.array([0, 2]), np.array([0])]
+    got = toxicity.log_odds(texts, np.array([1, 1, 1, 0, 0, 0]), 4)
+    odds = np.log(3.5 / 4) - np.log(0.5 / 4) - np.sqrt(1 / 3.5 + 1 / 0.5)
+    assert np.allclose(got, [0, odds * 3 / 7, 0, 0], atol=1e-6)
+
+
+def test_toxicity_on_few_labels(spark):
+    from quarrion.llm.common import table
+    from quarrion.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    rows = QUERIES["op6_toxicity"](spark, sf).where("held_out").join(table(spark, sf, "labels"), "doc_id").collect()
+    toxic, clean = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
+    assert sum(r.predicted for r in toxic) >= 0.6 * len(toxic) and sum(r.predicted for r in clean) <= 0.05 * len(clean)
+
+
+def test_samples_do_not_grow_with_repeated_rows(docs_of, spark):
+    docs = docs_of([(i, f"text {i} " + "bad " * (i % 2) * 3) for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, y int")
+    many = docs.unionByName(docs).unionByName(docs)
+    one, three = toxicity.fit(docs, labels, "y"), toxicity.fit(many, labels, "y")
+    assert np.array_equal(one.word, three.word) and one.scale == three.scale
+    one, three = quality.fit(docs, labels, "y"), quality.fit(many, labels, "y")
+    assert np.array_equal(one.vectors, three.vectors)
+
+
+def test_long_texts_take_no_place_in_a_sample(docs_of, spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TEXT_BYTES", 2000)
+    docs = docs_of([(i, "bad words here " if i % 2 else "some other words ") for i in range(60)] + [(100 + i, "bad " * 1000) for i in range(20)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(100 + i, 1) for i in range(20)], "doc_id bigint, y int")
+    rows = toxicity.score(docs, toxicity.fit(docs, labels, "y", sample=20)).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in rows if r.doc_id < 60)
+
+
 def test_toxicity_learns(docs_of, spark):
     rng = random.Random(6)
     words = ["river", "stone", "light", "garden", "window", "letter", "market", "summer"]
