@@ -132,6 +132,13 @@ class _Union:
 
 def link_sets(nodes: list[int], sets: list[np.ndarray], left: np.ndarray, num: int, den: int, union: _Union, cross: bool) -> None:
     """Join every two nodes whose sets reach the Jaccard num / den; of blocks ``left`` and not, across only if asked for."""
+    if len(nodes) == 2:
+        a, b = sets
+        if nodes[0] != nodes[1] and len(a) and len(b) and min(len(a), len(b)) * den >= max(len(a), len(b)) * num and (not cross or left[0] != left[1]):
+            both = tv.shared_count(a, b)
+            if den * both >= num * (len(a) + len(b) - both):
+                union.join(*nodes)
+        return
     order = np.lexsort((np.array(nodes), np.array([len(s) for s in sets])))
     sizes = np.array([len(sets[i]) for i in order], np.int64)
     side = left[order]
@@ -176,20 +183,20 @@ def verified_edges(texts: DataFrame, edges: DataFrame, sizes: DataFrame, k: int,
     wanted = texts.join(placed.hint("merge"), texts["doc_id"] == placed["node"]).select("task", "component", "own", "other", "node", "text")
 
     def verify(rows: pa.Table) -> pa.Table:
-        at = rows.column_names.index("text")
-        rows = rows.set_column(at, "text", rows.column(at).cast(pa.large_string()).fill_null(""))  # together they may be over 2 GB
-        union, groups_of = _Union(), {}
-        for i, (c, own, other) in enumerate(zip(*(rows.column(x).to_pylist() for x in ("component", "own", "other")), strict=True)):
-            groups_of.setdefault((c, min(own, other), max(own, other)), []).append(i)
-        for (_, lo, hi), at in groups_of.items():
-            part = rows.take(pa.array(at)).combine_chunks()
-            nodes, first = np.unique(part.column("node").to_numpy(), return_index=True)
-            part = part.take(pa.array(first))
-            sets: list[np.ndarray] = []
-            for piece in part.column("text").chunks:
-                sets += tv.shingle_sets(piece, k)
-            left = part.column("own").to_numpy() == lo
-            link_sets(nodes.tolist(), sets, left, num, den, union, lo != hi)
+        union = _Union()
+        column = rows.column("text").cast(pa.large_string()).fill_null("")  # together they may be over 2 GB
+        sets: list[np.ndarray] = []
+        for piece in column.chunks:
+            sets += tv.shingle_sets(piece, k)
+        node, component, own, other = (rows.column(x).to_numpy() for x in ("node", "component", "own", "other"))
+        lo, hi = np.minimum(own, other), np.maximum(own, other)
+        order = np.lexsort((node, hi, lo, component))
+        c, x, y = component[order], lo[order], hi[order]
+        cuts = np.flatnonzero((c[1:] != c[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+        for at in np.split(order, cuts) if len(order) else ():
+            nodes, first = np.unique(node[at], return_index=True)
+            at = at[first]
+            link_sets(nodes.tolist(), [sets[i] for i in at], own[at] == lo[at[0]], num, den, union, bool(lo[at[0]] != hi[at[0]]))
         pairs = [(union.find(x), x) for x in union.up]
         return pa.Table.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], schema=_EDGES)
 

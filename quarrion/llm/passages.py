@@ -35,7 +35,7 @@ LEAST, LONGEST, PART = 30, 120, 40
 SHINGLE, NUM, DEN = 5, 80, 100
 RECALL, MOST_HASHES = 0.995, 128
 #: Words of a window, shingles of which one is an anchor (50 words in a row always hold a window), rows of its band.
-WINDOW, SPREAD, ROWS = 32, 19, 3
+WINDOW, SPREAD, ROWS = 32, 19, 8
 #: Windows of a bucket to aim at; a window has about WINDOW_BYTES bytes of text to itself.
 BUCKET_WINDOWS, WINDOW_BYTES = 1 << 18, 60
 _CUT = np.uint64(31)  # a word whose hash has these bits clear may begin a part
@@ -209,13 +209,18 @@ _UNIT = np.dtype([("key", "<u8"), ("class", "<i8"), ("doc", "<i8"), ("word", "<u
 
 
 def _meet(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows by key, class and place; which of them share a key with another; a star of the classes of each key."""
+    """Windows by key, class and place; which of them share a key with one elsewhere; a star of the classes of such a key.
+
+    Windows of a text that overlap are no repetition of each other.
+    """
     u = u[np.lexsort((u["word"], u["doc"], u["class"], u["key"]))]
     new = np.append(True, u["key"][1:] != u["key"][:-1])
-    group = np.cumsum(new) - 1
-    shared = (np.bincount(group) > 1) | (np.bincount(group, u["known"]) > 0)
-    least = u["class"][np.flatnonzero(new)][group]
-    other = least != u["class"]
+    group, at = np.cumsum(new) - 1, np.flatnonzero(new)
+    ends = lambda c: (np.minimum.reduceat(u[c], at), np.maximum.reduceat(u[c], at))
+    (doc, last_doc), (word, last_word) = ends("doc"), ends("word")
+    shared = (doc != last_doc) | (last_word - word.astype(np.int64) >= WINDOW) | np.maximum.reduceat(u["known"], at)
+    least = u["class"][at][group]
+    other = (least != u["class"]) & shared[group]
     edges = np.unique(np.stack([least[other], u["class"][other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
     return u, shared[group], edges
 
