@@ -175,31 +175,46 @@ def _sliding(x: np.ndarray, n: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
 
 
-def windows(words: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(first words, band keys) of a text's windows."""
-    n = len(words) - WINDOW + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def windows(words: np.ndarray, first: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, band keys) of the windows of texts whose words begin at ``first`` (texts + 1), all texts at once."""
+    n = np.diff(first)
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if not (n >= WINDOW).any():
+        return none
     h = _flat(words, k)
-    mark = h[:n] * _ANCHOR[0] + _ANCHOR[1]
-    spread = min(SPREAD, n)
-    least = _sliding(mark, spread, np.minimum)
-    edge = np.zeros(spread - 1, np.uint32)
-    at = np.flatnonzero(mark == _sliding(np.concatenate([edge, least, edge]), spread, np.maximum))
+    left = np.repeat(first[1:], n) - np.arange(len(words))  # words from each to its text's end
+    starts = left >= WINDOW
+    mark = np.zeros(len(words), np.uint32)
+    mark[: len(h)] = h * _ANCHOR[0] + _ANCHOR[1]
+    # the least of every SPREAD starts in a row, which never reach over two texts; the least of a text with fewer
+    full = left >= WINDOW + SPREAD - 1
+    least = _sliding(np.where(starts, mark, 0xFFFFFFFF).astype(np.uint32), min(SPREAD, len(words)), np.minimum)
+    least = np.where(full[: len(least)], least, 0).astype(np.uint32)
+    edge = np.zeros(SPREAD - 1, np.uint32)
+    reach = _sliding(np.concatenate([edge, least, np.zeros(len(words) + SPREAD - 1 - len(least), np.uint32)]), SPREAD, np.maximum)[: len(words)]
+    chosen = starts & (mark == reach)
+    for i in np.flatnonzero((n >= WINDOW) & (n < WINDOW + SPREAD - 1)):
+        own = slice(first[i], first[i + 1] - WINDOW + 1)
+        chosen[own] = mark[own] == mark[own].min()
+    at = np.flatnonzero(chosen)
     low = np.stack([_sliding(h * _PLANES[0][i] + _PLANES[1][i], WINDOW - k + 1, np.minimum)[at] for i in range(ROWS)])
     return at, band_keys(low, 1, ROWS)[0]
 
 
-def _apart(at: np.ndarray, content: np.ndarray) -> np.ndarray:
-    """Which windows of a text to keep: of equal ones, those that do not overlap the one kept before."""
+def _apart(at: np.ndarray, text: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Which windows to keep: of equal ones of a text, those that do not overlap the one kept before."""
     keep = np.ones(len(at), bool)
-    _, which, n = np.unique(content, return_inverse=True, return_counts=True)
-    last: dict[int, int] = {}
-    for i in np.flatnonzero(n[which] > 1).tolist():
-        if at[i] < last.get(int(which[i]), -WINDOW) + WINDOW:
+    order = np.lexsort((at, content, text))
+    same = (text[order][1:] == text[order][:-1]) & (content[order][1:] == content[order][:-1])
+    last = 0
+    for j in (np.flatnonzero(same) + 1).tolist():
+        i, before = order[j], order[j - 1]
+        if j < 2 or not same[j - 2]:
+            last = at[before]
+        if at[i] < last + WINDOW:
             keep[i] = False
         else:
-            last[int(which[i])] = int(at[i])
+            last = at[i]
     return keep
 
 
@@ -277,22 +292,19 @@ def shared_windows(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
         for batch, texts in chunks:
             t = tv.split(texts)
             words = tv.word_hashes(t)
-            contents = Contents(words)
-            ids = batch.column(0).to_numpy()
-            for i in range(len(t)):
-                lo = int(t.first[i])
-                at, keys = windows(words[t.words_of(i)], k)
-                if not len(at):
-                    continue
-                content = contents.of(lo + at, lo + at + WINDOW)
-                some = _apart(at, content)
-                at = at[some]
-                u = np.zeros(len(at), _UNIT)
-                u["key"], u["class"], u["doc"], u["word"] = keys[some], content[some], ids[i], at
-                u["start"] = t.starts[lo + at] - t.offsets[i]
-                u["bytes"] = t.ends[lo + at + WINDOW - 1] - t.starts[lo + at]
-                units.append(u)
-                n += len(at)
+            at, keys = windows(words, t.first, k)
+            if not len(at):
+                continue
+            content = Contents(words).of(at, at + WINDOW)
+            text = np.searchsorted(t.first, at, "right") - 1
+            some = _apart(at, text, content)
+            at, text = at[some], text[some]
+            u = np.zeros(len(at), _UNIT)
+            u["key"], u["class"], u["doc"], u["word"] = keys[some], content[some], batch.column(0).to_numpy()[text], at - t.first[text]
+            u["start"] = t.starts[at] - t.offsets[text]
+            u["bytes"] = t.ends[at + WINDOW - 1] - t.starts[at]
+            units.append(u)
+            n += len(at)
             if n >= CHUNK_KEYS // 2:
                 yield from _pack(np.concatenate(units), buckets)
                 units, n = [], 0

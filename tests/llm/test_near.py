@@ -271,8 +271,23 @@ def test_fifty_common_words_share_a_window(before, other, seed):
     draw = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
     shared = draw(passages.WINDOW + passages.SPREAD - 1)
     a, b = np.concatenate([draw(before), shared, draw(other)]), np.concatenate([draw(other), shared, draw(before)])
-    assert set(passages.windows(a)[1].tolist()) & set(passages.windows(b)[1].tolist())
-    assert len(passages.windows(draw(passages.WINDOW - 1))[0]) == 0 and len(passages.windows(draw(passages.WINDOW))[0]) == 1
+    keys = lambda w: set(passages.windows(w, np.array([0, len(w)]))[1].tolist())
+    assert keys(a) & keys(b)
+    assert not keys(draw(passages.WINDOW - 1)) and len(keys(draw(passages.WINDOW))) == 1
+
+
+def test_windows_of_texts_at_once_are_those_of_each():
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        texts = [rng.integers(0, 40 if rng.random() < 0.3 else 2**63, rng.choice([0, 1, 5, 31, 32, 33, 49, 50, 51, 200]), dtype=np.uint64) for _ in range(rng.integers(1, 9))]
+        first = np.append(0, np.cumsum([len(t) for t in texts]))
+        at, keys = passages.windows(np.concatenate(texts), first)
+        want = [(f + int(x), int(y)) for f, t in zip(first, texts) for x, y in zip(*passages.windows(t, np.array([0, len(t)])))]
+        assert list(zip(at.tolist(), keys.tolist())) == want
+        for f, t in zip(first, texts):  # of any SPREAD starts in a row one is an anchor
+            own = at[(at >= f) & (at < f + len(t))] - f
+            starts = len(t) - passages.WINDOW + 1
+            assert all(((own >= s) & (own < s + passages.SPREAD)).any() for s in range(max(0, starts - passages.SPREAD + 1))) and (starts < 1) == (len(own) == 0)
 
 
 def test_minhash_recall_and_keys():
