@@ -45,19 +45,27 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/quarrion-{spark.sparkContext.applicationId}"
 
 
+def _own_folder(spark: SparkSession):
+    """The file system and path of this application's folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application; frames that still read them can no longer run."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    files, path = _own_folder(spark)
+    files.delete(path, True)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: its lineage ends there, and a lost executor costs nothing.
 
-    The schema is passed to the reader, so an empty frame comes back empty and no inference job runs.  ``clear`` deletes
-    these tables when their readers are done.
+    The schema is passed to the reader, so an empty frame comes back empty and no inference job runs.  These tables go when
+    the application's JVM ends, or by ``clear`` when their readers are done.
     """
     spark = df.sparkSession
+    files, folder = _own_folder(spark)
+    files.deleteOnExit(folder)
     path = f"{_own_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

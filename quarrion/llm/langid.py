@@ -186,21 +186,28 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
             seen[ids_] += 1
     idf = np.log((1 + sum(map(len, found.values()))) / (1 + seen)).astype(np.float32) + 1
     centres, owner, own, held = [], [], [], {}
+
+    def whole_of(c: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(c), 1 << BITS), np.float32)
+        out[:, grams] = c
+        return out
+
     for i, lang in enumerate(langs):
-        x = np.zeros((len(found[lang]), 1 << BITS), np.float32)
         rows_of = sorted(found[lang], key=lambda p: p[0].tobytes() + p[1].tobytes())
+        grams = np.unique(np.concatenate([r[0] for r in rows_of]))  # the rest are zero in every text of the language
+        x = np.zeros((len(rows_of), len(grams)), np.float32)
         for j, (ids_, counts, _) in enumerate(rows_of):
-            x[j, ids_] = np.sqrt(counts) * idf[ids_]
+            x[j, np.searchsorted(grams, ids_)] = np.sqrt(counts) * idf[ids_]
         x /= np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
         fold = np.array([f for _, _, f in rows_of])
         some = x.any(1)
-        c = _kmeans(x[some] if some.any() else x, centroids)
+        c = whole_of(_kmeans(x[some] if some.any() else x, centroids), grams)
         centres.append(c)
         owner += [i] * len(c)
         held[lang] = [[r[:2] for r in rows_of + parts.get(lang, []) if r[2] == f and len(r[0])] for f in (0, 1)]
         for f in (0, 1):
             rest = some & (fold != f)
-            own.append(_nearest(held[lang][f], idf, _kmeans(x[rest], centroids) if rest.any() else c))
+            own.append(_nearest(held[lang][f], idf, whole_of(_kmeans(x[rest], centroids), grams) if rest.any() else c))
     whole, owners = np.concatenate(centres), np.array(owner)
     texts = [(i, rows) for i, lang in enumerate(langs) for rows in held[lang]]
     other = np.concatenate([_nearest(rows, idf, whole[owners != i]) for i, rows in texts]) if len(langs) > 1 else None

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
 Documents fall into cells by source, language and topic.  A cell's weight starts as its share of all tokens and is
-raked in turn to the target shares of sources, languages and topics.  A document is then kept with a probability
+raked in turn to the target shares of sources, languages and topics, until every margin has its target.  A document is then kept with a probability
 proportional to its cell's fitted weight over its share, scaled so that the most wanted cell is kept whole; the draw is a
 hash of the id, so it is the same on every run and needs no state.
 """
@@ -16,7 +16,9 @@ from quarrion.llm.common import free_name, stored
 KEYS = ("source", "lang", "topic")
 #: Default targets: each margin's token shares to this power, normalised.
 POWERS = {"source": 0.85, "lang": 0.85, "topic": 0.95}
-SWEEPS, STEP = 12, 4
+#: A sweep rakes each margin once.  Unless their number is given, sweeps end when no margin is off its target by more than
+#: this, or when that no longer falls.
+TOLERANCE, MOST_SWEEPS = 1e-14, 100
 #: Cells that are broadcast at most; more are joined by shuffle.
 BROADCAST_CELLS = 100_000
 MISSING = "(none)"
@@ -46,10 +48,12 @@ def cell_columns(df: DataFrame, text_col: str = "text", topic_col: str | None =
     return {"source": of("source"), "lang": of("lang"), "topic": of(topic_col) if topic_col else topic(df[text_col], tokens), "n_tokens": tokens}
 
 
-def fitted(cells: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """(source, lang, topic, tokens, weight, rate) of cells with ``tokens``: weights raked to the targets.
+def fitted(cells: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: int | None = None) -> DataFrame:
+    """(source, lang, topic, tokens, weight, rate, margin_error) of cells with ``tokens``: weights raked to the targets.
 
     ``targets`` maps a key to a frame (key, share); a margin without one gets its token shares to the power POWERS names.
+    ``margin_error`` is the largest difference of a margin from its target, the same in every row: it stays large if no weights
+    can meet the targets, as when they name shares that do not sum to one or values without a document.
     """
     over = lambda k: Window.partitionBy(k)
     total = cells.agg(F.sum("tokens").alias("_total"))
@@ -61,44 +65,66 @@ def fitted(cells: DataFrame, targets: dict[str, DataFrame] | None = None) -> Dat
             goal = cells.groupBy(k).agg(F.pow(F.sum("tokens").cast("double"), F.lit(POWERS[k])).alias(f"_goal_{k}"))
         goal = goal.crossJoin(F.broadcast(goal.agg(F.sum(f"_goal_{k}").alias("_all")))).select(k, (F.col(f"_goal_{k}") / F.col("_all")).alias(f"_goal_{k}"))
         now = now.join(goal, k, "left").withColumn(f"_goal_{k}", F.coalesce(f"_goal_{k}", F.lit(0.0)))
-    now = stored(now, "cells")
-    for sweep in range(1, SWEEPS + 1):
+    now, error = stored(now, "cells"), None
+    for _ in range(sweeps or MOST_SWEEPS):
         for k in KEYS:
             now = now.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"_goal_{k}"), F.sum("weight").over(over(k))), F.lit(0.0)))
-        if sweep % STEP == 0:
-            now = stored(now, "cells")
+        now = stored(now, "cells")
+        before, error = error, margin_error(now)
+        if not sweeps and (error <= TOLERANCE or (before is not None and error >= before)):
+            break
     now = now.withColumn("_ratio", F.col("weight") * F.col("_total") / F.col("tokens"))
     most = now.agg(F.max("_ratio").alias("_most"))
     rate = F.round(F.coalesce(F.try_divide(F.col("_ratio"), F.col("_most")), F.lit(0.0)), 9)
-    return stored(now.crossJoin(F.broadcast(most)).select(*KEYS, "tokens", "weight", rate.alias("rate")), "rates")
+    return stored(now.crossJoin(F.broadcast(most)).select(*KEYS, "tokens", "weight", rate.alias("rate"), F.lit(error).cast("double").alias("margin_error")), "rates")
 
 
-def rates(df: DataFrame, text_col: str = "text", topic_col: str | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    keyed = df.select(*(c.alias(k) for k, c in cell_columns(df, text_col, topic_col).items()))
-    return fitted(stored(keyed.groupBy(*KEYS).agg(F.sum("n_tokens").alias("tokens")), "tokens"), targets)
+def margin_error(cells: DataFrame) -> float:
+    """How far the margin that is farthest from its target is off, as a share of all weight."""
+    apart = [cells.groupBy(F.col(k).alias("value")).agg((F.sum("weight") - F.first(f"_goal_{k}")).alias("off")) for k in KEYS]
+    return apart[0].unionByName(apart[1]).unionByName(apart[2]).agg(F.max(F.abs("off"))).first()[0] or 0.0
 
 
-def _with_rate(df: DataFrame, found: DataFrame, text_col: str, topic_col: str | None) -> tuple[DataFrame, dict[str, str]]:
+def _keyed(df: DataFrame, columns: list[Column], text_col: str, topic_col: str | None) -> tuple[DataFrame, dict[str, str]]:
+    """The columns beside each row's cell and tokens, stored, so that texts are gone over once."""
     names = {k: free_name(df.columns, f"_mix_{k}") for k in (*KEYS, "n_tokens", "rate")}
-    keyed = df.withColumns({names[k]: c for k, c in cell_columns(df, text_col, topic_col).items()})
-    cells = found.select(*(F.col(k).alias(names[k]) for k in (*KEYS, "rate")))
+    return stored(df.select(*columns, *(c.alias(names[k]) for k, c in cell_columns(df, text_col, topic_col).items())), "keyed"), names
+
+
+def _with_rate(rows: DataFrame, names: dict[str, str], targets: dict[str, DataFrame] | None, sweeps: int | None = None) -> DataFrame:
+    cells = rows.groupBy(*(F.col(names[k]).alias(k) for k in KEYS)).agg(F.sum(names["n_tokens"]).alias("tokens"))
+    cells = fitted(stored(cells, "tokens"), targets, sweeps).select(*(F.col(k).alias(names[k]) for k in (*KEYS, "rate")))
     cells = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
-    return keyed.join(cells, [names[k] for k in KEYS], "left"), names
+    return rows.join(cells, [names[k] for k in KEYS], "left").withColumn(names["rate"], F.coalesce(names["rate"], F.lit(0.0)))
+
+
+def rates(df: DataFrame, text_col: str = "text", topic_col: str | None = None, targets: dict[str, DataFrame] | None = None, sweeps: int | None = None) -> DataFrame:
+    """(source, lang, topic, tokens, weight, rate, margin_error) of the cells of ``df``.
+
+    A null text has one token, null sources, languages and topics are values of their own, repeated rows count each; no rows
+    give no cells.
+    """
+    keyed = df.select(*(c.alias(k) for k, c in cell_columns(df, text_col, topic_col).items()))
+    return fitted(stored(keyed.groupBy(*KEYS).agg(F.sum("n_tokens").alias("tokens")), "tokens"), targets, sweeps)
 
 
-def calibrated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic_col: str | None = None, targets: dict[str, DataFrame] | None = None, seed: int = 1) -> DataFrame:
+def calibrated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic_col: str | None = None, targets: dict[str, DataFrame] | None = None, seed: int = 1, sweeps: int | None = None) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, rate, kept) for each row.
 
     ``rate`` is the probability with which the row's cell is kept, ``kept`` its draw.  Null texts have no words, null
     sources and languages are values of their own, a null id draws as an empty one, repeated rows draw alike; no rows give
     no rows.  ``df`` needs columns source and lang; others are not read.
     """
-    rows, names = _with_rate(df, rates(df, text_col, topic_col, targets), text_col, topic_col)
-    rate = F.coalesce(F.col(names["rate"]), F.lit(0.0))
-    return rows.select(F.col(id_col).cast("bigint").alias("doc_id"), *(F.col(names[k]).alias(k) for k in (*KEYS, "n_tokens")), rate.alias("rate"), (draw(F.col(id_col), seed) < rate).alias("kept"))
+    rows, names = _keyed(df, [df[id_col].alias("_mix_id")], text_col, topic_col)
+    rows = _with_rate(rows, names, targets, sweeps)
+    return rows.select(F.col("_mix_id").cast("bigint").alias("doc_id"), *(F.col(names[k]).alias(k) for k in (*KEYS, "n_tokens", "rate")), (draw(F.col("_mix_id"), seed) < F.col(names["rate"])).alias("kept"))
 
 
 def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic_col: str | None = None, targets: dict[str, DataFrame] | None = None, seed: int = 1) -> DataFrame:
-    """The rows of ``df`` that their draw keeps, with all their columns; no text is shuffled."""
-    rows, names = _with_rate(df, rates(df, text_col, topic_col, targets), text_col, topic_col)
-    return rows.where(draw(F.col(id_col), seed) < F.coalesce(F.col(names["rate"]), F.lit(0.0))).select(*df.columns)
+    """The rows of ``df`` that their draw keeps, with all their columns; no text is shuffled.
+
+    Nulls, repeated rows and empty tables are as for ``calibrated``.
+    """
+    rows, names = _keyed(df, [df[c] for c in df.columns], text_col, topic_col)
+    rows = _with_rate(rows, names, targets)
+    return rows.where(draw(F.col(id_col), seed) < F.col(names["rate"])).select(*df.columns)

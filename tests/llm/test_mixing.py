@@ -24,6 +24,16 @@ def test_weights_meet_the_targets(spark, docs_of):
     total = sum(c.tokens for c in cells)
     factor = {round(c.rate / (c.weight * total / c.tokens), 5) for c in cells}
     assert len(factor) == 1
+    assert {c.margin_error for c in cells} == {cells[0].margin_error} and cells[0].margin_error < 1e-13
+    few = mixing.rates(docs_of(rows), targets={"source": goal, "lang": langs}, sweeps=1).collect()
+    assert few[0].margin_error > 1e-9
+
+
+def test_targets_that_cannot_be_met_are_reported(spark, docs_of):
+    rows = [(i, "word " * 60, ("en", "de")[i % 2], ("a", "b")[i % 2]) for i in range(40)]
+    goal = spark.createDataFrame([("a", 0.9), ("b", 0.1)], "source string, share double")
+    langs = spark.createDataFrame([("en", 0.5), ("de", 0.5)], "lang string, share double")
+    assert mixing.rates(docs_of(rows), targets={"source": goal, "lang": langs}).first().margin_error > 0.3
 
 
 def test_kept_tokens_follow_the_rates(docs_of):
