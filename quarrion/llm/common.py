@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,6 +73,12 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Give memory that a model's fit has freed back to the system, where the C library can."""
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of an id as text, modulo n: the split that decides which rows a model may learn from."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))

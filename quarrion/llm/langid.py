@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.llm import textvec as tv
-from quarrion.llm.common import bounded_sample, map_texts, slim, small_batches, text_batches
+from quarrion.llm.common import bounded_sample, map_texts, release_memory, slim, small_batches, text_batches
 
 BITS, ORDERS = 14, (2, 3, 4)
 #: Texts of each language that a model learns from at most, and centroids of a language.
@@ -212,7 +212,10 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     texts = [(i, rows) for i, lang in enumerate(langs) for rows in held[lang]]
     other = np.concatenate([_nearest(rows, idf, whole[owners != i]) for i, rows in texts]) if len(langs) > 1 else None
     sizes = np.log2(np.array([len(r[0]) for _, rows in texts for r in rows], float))
-    return Model(langs, idf, whole, owners, *reject_limits(sizes, np.concatenate(own), other))
+    model = Model(langs, idf, whole, owners, *reject_limits(sizes, np.concatenate(own), other))
+    del found, parts, held, texts, rows_of, x
+    release_memory()
+    return model
 
 
 def judge(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -16,9 +16,9 @@ from quarrion.llm.common import free_name, stored
 KEYS = ("source", "lang", "topic")
 #: Default targets: each margin's token shares to this power, normalised.
 POWERS = {"source": 0.85, "lang": 0.85, "topic": 0.95}
-#: A sweep rakes each margin once.  Unless their number is given, sweeps end when no margin is off its target by more than
-#: this, or when that no longer falls.
-TOLERANCE, MOST_SWEEPS = 1e-14, 100
+#: A sweep rakes each margin once; so many make one plan.  Unless their number is given, sweeps end when no margin is off its
+#: target by more than TOLERANCE, or when that no longer falls.
+STEP, TOLERANCE, MOST_SWEEPS = 3, 1e-14, 99
 #: Cells that are broadcast at most; more are joined by shuffle.
 BROADCAST_CELLS = 100_000
 MISSING = "(none)"
@@ -66,9 +66,11 @@ def fitted(cells: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps
         goal = goal.crossJoin(F.broadcast(goal.agg(F.sum(f"_goal_{k}").alias("_all")))).select(k, (F.col(f"_goal_{k}") / F.col("_all")).alias(f"_goal_{k}"))
         now = now.join(goal, k, "left").withColumn(f"_goal_{k}", F.coalesce(f"_goal_{k}", F.lit(0.0)))
     now, error = stored(now, "cells"), None
-    for _ in range(sweeps or MOST_SWEEPS):
+    for sweep in range(1, (sweeps or MOST_SWEEPS) + 1):
         for k in KEYS:
             now = now.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"_goal_{k}"), F.sum("weight").over(over(k))), F.lit(0.0)))
+        if sweep % STEP and sweep != sweeps:
+            continue
         now = stored(now, "cells")
         before, error = error, margin_error(now)
         if not sweeps and (error <= TOLERANCE or (before is not None and error >= before)):
