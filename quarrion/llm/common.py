@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import suppress
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,6 +73,14 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_rows(df: DataFrame, what: str) -> Iterator[Row]:
+    """The rows of a frame whose size has a bound, on the driver: computed by all tasks, then read in one job.
+
+    Reading a frame straight from its last shuffle would take a job for each of its partitions.
+    """
+    return stored(df, what).coalesce(1).toLocalIterator()
+
+
 def release_memory() -> None:
     """Give memory that a model's fit has freed back to the system, where the C library can."""
     with suppress(OSError, AttributeError):

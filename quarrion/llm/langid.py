@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.llm import textvec as tv
-from quarrion.llm.common import bounded_sample, map_texts, release_memory, slim, small_batches, text_batches
+from quarrion.llm.common import bounded_rows, bounded_sample, map_texts, release_memory, slim, small_batches, text_batches
 
 BITS, ORDERS = 14, (2, 3, 4)
 #: Texts of each language that a model learns from at most, and centroids of a language.
@@ -175,7 +175,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
 
     found: dict[str, list[tuple[np.ndarray, np.ndarray, int]]] = {}
     parts: dict[str, list[tuple[np.ndarray, np.ndarray, int]]] = {}
-    for r in map_texts(picked, run, "lang string, fold int, part boolean, ids binary, counts binary").toLocalIterator():
+    for r in bounded_rows(map_texts(picked, run, "lang string, fold int, part boolean, ids binary, counts binary"), "ngrams"):
         (parts if r.part else found).setdefault(r.lang, []).append((np.frombuffer(r.ids, np.int32), np.frombuffer(r["counts"], np.float32), r.fold))
     langs = sorted(found)
     if not langs:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrion.llm.common import map_texts, slim, stored
+from quarrion.llm.common import bounded_rows, map_texts, slim, stored
 
 END = 0  # the id that follows each document
 #: Pieces of one rank group; more pieces make more groups.
@@ -169,7 +169,7 @@ def pack(df: DataFrame, path: str, most: int = 2048, id_col: str = "doc_id", tex
     salts = max(1, total // RANKED)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     counts = stored(salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")), "lengths")
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).toLocalIterator()}  # at most ``most`` rows
+    histogram = {r.length: r.n for r in bounded_rows(counts.groupBy("length").agg(F.sum("_n").alias("n")), "histogram")}  # at most ``most`` rows
     runs, _ = best_fit(histogram, most)
     by_length: dict[int, list[tuple]] = {}
     for r in runs:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.llm import textvec as tv
-from quarrion.llm.common import bounded_sample, map_texts, slim
+from quarrion.llm.common import bounded_rows, bounded_sample, map_texts, slim
 
 BITS, ORDERS, DIM = 17, (2, 3, 4, 5), 8
 #: Labelled rows that a model learns from at most.
@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, sample: int = SAMPLE
                 shares = (counts / max(1, counts.sum())).astype(np.float32)
                 yield {"doc_id": batch.column(0).slice(i, 1), "label": batch.column(2).slice(i, 1), "ids": [ids.astype(np.int32).tobytes()], "shares": [shares.tobytes()]}
 
-    got = sorted(((r.doc_id, r.label, r.ids, r.shares) for r in map_texts(rows, run, "doc_id bigint, label int, ids binary, shares binary").toLocalIterator()), key=lambda r: (r[0], r[2], r[3]))
+    got = sorted(((r.doc_id, r.label, r.ids, r.shares) for r in bounded_rows(map_texts(rows, run, "doc_id bigint, label int, ids binary, shares binary"), "features")), key=lambda r: (r[0], r[2], r[3]))
     return fit_rows([(np.frombuffer(i, np.int32), np.frombuffer(s, np.float32)) for _, _, i, s in got], np.array([r[1] for r in got], np.int64))
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.llm import textvec as tv
-from quarrion.llm.common import free_name, join_groups, map_texts, slim, stored
+from quarrion.llm.common import bounded_rows, free_name, join_groups, map_texts, slim, stored
 from quarrion.llm.graph import components
 from quarrion.llm.pairing import candidate_edges, verified_edges
 
@@ -185,7 +185,7 @@ def jaccard_components(df: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     sets = stored(map_texts(docs, measure, "doc_id bigint, n bigint, s1 bigint, s2 bigint, bytes bigint"), "sets")
     real = sets.where("n > 0 and doc_id is not null")
     classes = stored(real.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.max("bytes").alias("bytes")), "classes")
-    steps = list(classes.groupBy(F.floor(F.log(1.05, "n")).alias("step")).agg(F.min("n").alias("least"), F.max("n").alias("largest"), F.count(F.lit(1)).alias("c"), F.sum("size").alias("t")).toLocalIterator())  # a row for each 5 % of size
+    steps = list(bounded_rows(classes.groupBy(F.floor(F.log(1.05, "n")).alias("step")).agg(F.min("n").alias("least"), F.max("n").alias("largest"), F.count(F.lit(1)).alias("c"), F.sum("size").alias("t")), "steps"))  # a row for each 5 % of size
     counts = band_counts([(r.least, r.largest, r.c) for r in steps], num, den)
     plans = allocate(counts, num, den)
     expected = sum(n * 2 * plans[b].m for b, n in counts.items() if b in plans)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrion.llm import textvec as tv
-from quarrion.llm.common import bounded_sample, map_texts, slim, stored
+from quarrion.llm.common import bounded_rows, bounded_sample, map_texts, slim, stored
 from quarrion.llm.quality import platt
 
 WORD_BITS, CHAR_BITS, GRAM = 15, 15, 4
@@ -311,7 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, sample: int = SAMPLE
                 if len(w.ids):
                     yield {"doc_id": batch.column(0).slice(i, 1), "label": batch.column(2).slice(i, 1), "ids": [w.ids.tobytes()], "grams": [w.grams.tobytes()], "first": [w.first.astype(np.int32).tobytes()]}
 
-    got = sorted(((r.doc_id, r.label, r.ids, r.grams, r["first"]) for r in map_texts(rows, run, "doc_id bigint, label int, ids binary, grams binary, first binary").toLocalIterator()), key=lambda r: r[0])
+    got = sorted(((r.doc_id, r.label, r.ids, r.grams, r["first"]) for r in bounded_rows(map_texts(rows, run, "doc_id bigint, label int, ids binary, grams binary, first binary"), "words")), key=lambda r: r[0])
     texts = [Words(np.frombuffer(i, np.int32), np.frombuffer(g, np.int32), np.frombuffer(f, np.int32).astype(np.int64)) for _, _, i, g, f in got]
     return train(texts, np.array([r[1] for r in got], np.int64), min(max(share if share is not None else 0.5, 1e-3), 1 - 1e-3))
 
