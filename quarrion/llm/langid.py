@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.llm import textvec as tv
-from quarrion.llm.common import bounded_rows, bounded_sample, map_texts, release_memory, slim, small_batches, text_batches
+from quarrion.llm.common import bounded_rows, bounded_sample, map_texts, release_memory, slim, small_batches, stored, text_batches
 
 BITS, ORDERS = 14, (2, 3, 4)
 #: Texts of each language that a model learns from at most, and centroids of a language.
@@ -116,15 +116,6 @@ def _parts(texts: pa.Array) -> tuple[list[int], pa.Array]:
     return of, pa.array(parts, pa.large_string())
 
 
-def _nearest(rows: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    """The cosine of each sparse row of counts to the nearest of the centroids."""
-    out = np.zeros(len(rows))
-    for j, (ids, counts) in enumerate(rows):
-        v = np.sqrt(counts) * idf[ids]
-        out[j] = (centroids[:, ids] @ v).max() / max(float(np.linalg.norm(v)), 1e-9)
-    return out
-
-
 def reject_limits(sizes: np.ndarray, own: np.ndarray, other: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """(sizes, least cosines) from held-out texts: log2 of their n-grams, cosines to their own language and to all others.
 
@@ -147,7 +138,8 @@ def reject_limits(sizes: np.ndarray, own: np.ndarray, other: np.ndarray | None)
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
     """Learn from at most ``sample`` texts of each language (the bound); rows with a null language or text do not count.
 
-    Texts are counted on the executors; the driver gets their sparse counts, bounded by the sample and 2^BITS.  Of rows that
+    Texts are counted on the executors; the driver gets their sparse counts, bounded by the sample and 2^BITS, and of the
+    distances by which rejection is learned three numbers for each text and part.  Of rows that
     share an id and a language one is learned from, the least by its text.  Without any row to learn from the model knows no
     language and rejects every text.  More than MOST_LANGS languages are an error: the model is held whole on each executor.
     """
@@ -156,27 +148,19 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     if (n := ids.select("lang").distinct().count()) > MOST_LANGS:
         raise ValueError(f"{n} languages to learn, at most {MOST_LANGS} are held")
     picked = rows.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
-    picked = picked.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "text", "lang")
+    picked = stored(picked.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "text", "lang"), "sample")
 
     def run(chunks):
-        def sparse(texts, langs, folds, part):
+        for batch, texts in chunks:
+            langs, folds = batch.column(2).to_pylist(), [_fold(i) for i in batch.column(0).to_pylist()]
             for at in range(0, len(texts), _ROWS):
                 counts = count_ngrams(texts.slice(at, _ROWS))
                 used = [np.flatnonzero(r) for r in counts]
-                yield {"lang": langs[at : at + _ROWS], "fold": folds[at : at + _ROWS], "part": [part] * len(used), "ids": [u.astype(np.int32).tobytes() for u in used], "counts": [r[u].tobytes() for r, u in zip(counts, used, strict=True)]}
-
-        for batch, texts in chunks:
-            langs = batch.column(2).to_pylist()
-            folds = [crc32(str(i).encode()) & 1 for i in batch.column(0).to_pylist()]
-            yield from sparse(texts, langs, folds, False)
-            for at in range(0, len(texts), _ROWS):
-                of, parts = _parts(texts.slice(at, _ROWS))
-                yield from sparse(parts, [langs[at + i] for i in of], [folds[at + i] for i in of], True)
+                yield {"lang": langs[at : at + _ROWS], "fold": folds[at : at + _ROWS], "ids": [u.astype(np.int32).tobytes() for u in used], "counts": [r[u].tobytes() for r, u in zip(counts, used, strict=True)]}
 
     found: dict[str, list[tuple[np.ndarray, np.ndarray, int]]] = {}
-    parts: dict[str, list[tuple[np.ndarray, np.ndarray, int]]] = {}
-    for r in bounded_rows(map_texts(picked, run, "lang string, fold int, part boolean, ids binary, counts binary"), "ngrams"):
-        (parts if r.part else found).setdefault(r.lang, []).append((np.frombuffer(r.ids, np.int32), np.frombuffer(r["counts"], np.float32), r.fold))
+    for r in bounded_rows(map_texts(picked, run, "lang string, fold int, ids binary, counts binary"), "ngrams"):
+        found.setdefault(r.lang, []).append((np.frombuffer(r.ids, np.int32), np.frombuffer(r["counts"], np.float32), r.fold))
     langs = sorted(found)
     if not langs:
         return Model([], np.ones(1 << BITS, np.float32), np.zeros((0, 1 << BITS), np.float32), np.zeros(0, np.int64), np.zeros(1), np.zeros(1))
@@ -185,7 +169,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         for ids_, _, _ in rows_of:
             seen[ids_] += 1
     idf = np.log((1 + sum(map(len, found.values()))) / (1 + seen)).astype(np.float32) + 1
-    centres, owner, own, held = [], [], [], {}
+    centres, owner, halves, half_of = [], [], [], []
 
     def whole_of(c: np.ndarray, grams: np.ndarray) -> np.ndarray:
         out = np.zeros((len(c), 1 << BITS), np.float32)
@@ -193,7 +177,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         return out
 
     for i, lang in enumerate(langs):
-        rows_of = sorted(found[lang], key=lambda p: p[0].tobytes() + p[1].tobytes())
+        rows_of = sorted(found.pop(lang), key=lambda p: p[0].tobytes() + p[1].tobytes())
         grams = np.unique(np.concatenate([r[0] for r in rows_of]))  # the rest are zero in every text of the language
         x = np.zeros((len(rows_of), len(grams)), np.float32)
         for j, (ids_, counts, _) in enumerate(rows_of):
@@ -204,20 +188,52 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         c = whole_of(_kmeans(x[some] if some.any() else x, centroids), grams)
         centres.append(c)
         owner += [i] * len(c)
-        held[lang] = [[r[:2] for r in rows_of + parts.get(lang, []) if r[2] == f and len(r[0])] for f in (0, 1)]
-        for f in (0, 1):
+        for f in (0, 1):  # what each half of the texts is measured against: centroids of the other half
             rest = some & (fold != f)
-            own.append(_nearest(held[lang][f], idf, whole_of(_kmeans(x[rest], centroids), grams) if rest.any() else c))
-    whole, owners = np.concatenate(centres), np.array(owner)
-    texts = [(i, rows) for i, lang in enumerate(langs) for rows in held[lang]]
-    other = np.concatenate([_nearest(rows, idf, whole[owners != i]) for i, rows in texts]) if len(langs) > 1 else None
-    sizes = np.log2(np.array([len(r[0]) for _, rows in texts for r in rows], float))
-    model = Model(langs, idf, whole, owners, *reject_limits(sizes, np.concatenate(own), other))
-    del found, parts, held, texts, rows_of, x
+            halves.append(whole_of(_kmeans(x[rest], centroids), grams) if rest.any() else c)
+            half_of += [2 * i + f] * len(halves[-1])
+    model = Model(langs, idf, np.concatenate(centres), np.array(owner), np.zeros(1), np.zeros(1))
+    sizes, own, other = _distances(picked, model, Model(langs * 2, idf, np.concatenate(halves), np.array(half_of), np.zeros(1), np.zeros(1)))
+    model.sizes, model.reject = reject_limits(sizes, own, other if len(langs) > 1 else None)
+    del found, rows_of, x, halves
     release_memory()
     return model
 
 
+def _fold(doc: int | None) -> int:
+    return crc32(str(doc).encode()) & 1
+
+
+def _distances(picked: DataFrame, model: Model, halves: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each sampled text and its parts that have n-grams: log2 of their number, the cosine to its own language's centroids
+    that it was not learned from (``halves`` has two owners a language), and the cosine to all other languages."""
+    held = picked.sparkSession.sparkContext.broadcast((model, halves))
+
+    def run(chunks):
+        model, halves = held.value
+        of = {lang: i for i, lang in enumerate(model.langs)}
+
+        def rows(texts, langs, folds):
+            for at in range(0, len(texts), _ROWS):
+                counts = count_ngrams(texts.slice(at, _ROWS))
+                some = np.flatnonzero(counts.any(1))
+                lang = np.array([of[x] for x in langs[at : at + _ROWS]])[some]
+                best, half = model.cosines(counts[some]), halves.cosines(counts[some])
+                own = half[np.arange(len(some)), 2 * lang + np.array(folds[at : at + _ROWS])[some]]
+                best[np.arange(len(some)), lang] = -1
+                yield {"size": np.log2((counts[some] > 0).sum(1)), "own": own, "other": best.max(1)}
+
+        for batch, texts in chunks:
+            langs, folds = batch.column(2).to_pylist(), [_fold(i) for i in batch.column(0).to_pylist()]
+            yield from rows(texts, langs, folds)
+            for at in range(0, len(texts), _ROWS):
+                which, parts = _parts(texts.slice(at, _ROWS))
+                yield from rows(parts, [langs[at + i] for i in which], [folds[at + i] for i in which])
+
+    got = np.array([(r.size, r.own, r.other) for r in bounded_rows(map_texts(picked, run, "size double, own double, other double"), "distances")]).reshape(-1, 3)
+    return got[:, 0], got[:, 1], got[:, 2]
+
+
 def judge(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, cosine and rejection of a few texts."""
     counts = count_ngrams(texts)
