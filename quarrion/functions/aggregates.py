@@ -43,10 +43,10 @@ class Aggregate:
                 raise PlanError(f"{function}(*) is not defined; only COUNT takes *")
             return
         if self.column not in schema.names:
-            raise PlanError(f"aggregate {function} references unknown column {self.column!r}")
+            raise PlanError(f"no such column for {function}: {self.column!r}")
         kind = kind_of(schema[self.column].dataType)
         if FUNCTIONS[function][1] and not kind.numeric:
-            raise PlanError(f"{function} not supported on {kind.value} column {self.column!r}")
+            raise PlanError(f"{function} is not defined for the {kind.value} values of {self.column!r}")
 
     def expression(self, schema: T.StructType) -> Column:
         self.check(schema)

@@ -157,10 +157,10 @@ def limit_n_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.aggregate(limit_n(spark, sf_dir), [A.count(name="n")])
 
 
-@functional("order_nulls", "SELECT CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderkey AS DOUBLE) END AS k FROM orders ORDER BY k DESC NULLS LAST LIMIT 12500")
+@functional("order_nulls", "SELECT CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderkey AS DOUBLE) END AS k FROM orders ORDER BY k DESC NULLS LAST")
 def order_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey").cast("double")).alias("k"))
-    return R.limit(R.order_by(rows, "k", ascending=False), 12500)
+    return R.order_by(rows, "k", ascending=False)
 
 
 @functional("order_bool", "SELECT o_orderkey, o_orderstatus = 'F' AS b FROM orders ORDER BY b")
@@ -212,12 +212,19 @@ def codec_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
 @functional("file_roundtrip", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
 def file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import tempfile
+    import uuid
 
     from quarrion.sources.datasource import register
 
     register(spark)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarrion-")
-    path = f"{shared.removeprefix('file://').removeprefix('file:')}/nation-{spark.sparkContext.applicationId}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="quarrion-")
+    path = f"{shared.removeprefix('file://').removeprefix('file:')}/nation-{uuid.uuid4().hex}"  # a lazy frame may still read an earlier one
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{path}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     read(spark, sf_dir, "nation").write.format("blockfile").option("rowgroup", "10").mode("overwrite").save(path)
     return spark.read.format("blockfile").load(path)
 

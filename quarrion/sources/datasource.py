@@ -65,8 +65,8 @@ class GroupPartition(InputPartition):
 
 
 class BlockFileReader(DataSourceReader):
-    def __init__(self, path: str, where: tuple[str, str, object] | None):
-        self.path, self.where = path, where
+    def __init__(self, path: str, where: tuple[str, str, object] | None, columns: list[str] | None, schema: pa.Schema):
+        self.path, self.where, self.columns, self.schema = path, where, columns, schema
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
@@ -85,7 +85,10 @@ class BlockFileReader(DataSourceReader):
             return
         with open(partition.path, "rb") as f:
             footer = blockfile.read_footer(f, os.path.getsize(partition.path))
-            yield from blockfile.read_group(f, footer, partition.group).to_batches(max_chunksize=10_000)
+            own = footer.schema if self.columns is None else pa.schema([footer.schema.field(n) for n in self.columns if n in footer.schema.names])
+            if (own.names, own.types) != (self.schema.names, self.schema.types):
+                raise FormatError(f"the columns of {partition.path} are not those of the folder's first file")
+            yield from blockfile.read_group(f, footer, partition.group, self.columns).to_batches(max_chunksize=10_000)
 
 
 @dataclass
@@ -118,16 +121,16 @@ class BlockFileWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         os.makedirs(self.staging, exist_ok=True)
-        if self.overwrite:
-            for old in files(self.path):
-                os.remove(old)
+        before = files(self.path) if self.overwrite else []
         parts = [m.part for m in messages if m and m.part]
-        if not parts and not files(self.path):  # an empty table still has its schema
+        if not parts and (self.overwrite or not files(self.path)):  # an empty table still has its schema
             parts = [os.path.join(self.staging, f"part-empty{SUFFIX}")]
             with open(parts[0], "wb") as f:
                 blockfile.Writer(f, self.schema).close()
         for n, part in enumerate(parts):
             os.replace(part, os.path.join(self.path, f"part-{n:05d}-{self.job}{SUFFIX}"))
+        for old in before:  # only now that the new files have their names, so that a crash loses nothing
+            os.remove(old)
         shutil.rmtree(self.staging, ignore_errors=True)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -135,7 +138,8 @@ class BlockFileWriter(DataSourceArrowWriter):
 
 
 class BlockFileSource(DataSource):
-    """Options: ``path``; ``where`` to skip row groups; ``rowgroup`` (rows) when writing."""
+    """Options: ``path``; ``where`` to skip row groups; ``columns`` (names with commas) to decode no others; ``rowgroup`` (rows)
+    when writing."""
 
     @classmethod
     def name(cls) -> str:
@@ -150,10 +154,16 @@ class BlockFileSource(DataSource):
         found = files(self._path())
         if not found:
             raise FormatError(f"no block file in {self._path()}")
-        schemas = [footer_of(f).schema for f in found]
-        if any(s != schemas[0] for s in schemas):
-            raise FormatError("the files of a folder differ in their columns")
-        return from_arrow_schema(schemas[0])
+        schema = footer_of(found[0]).schema  # that of the other files is checked where they are read
+        if names := self._columns():
+            if missing := [n for n in names if n not in schema.names]:
+                raise FormatError(f"the columns option names the unknown column {missing[0]!r}")
+            schema = pa.schema([schema.field(n) for n in names])
+        return from_arrow_schema(schema)
+
+    def _columns(self) -> list[str] | None:
+        text = self.options.get("columns")
+        return [n.strip() for n in text.split(",")] if text else None
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         where = None
@@ -162,12 +172,17 @@ class BlockFileSource(DataSource):
             from quarrion.plans.planner import free_literal
 
             w = parse(f"SELECT * FROM t WHERE {text}").where
-            if w.column not in schema.names or w.op not in COMPARISONS:
+            if w.column not in footer_of(files(self._path())[0]).schema.names or w.op not in COMPARISONS:
                 raise FormatError(f"the where option names the unknown column {w.column!r}")
             where = (w.column, w.op, free_literal(w))
-        return BlockFileReader(self._path(), where)
+        return BlockFileReader(self._path(), where, self._columns(), to_arrow_schema(schema))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
+        path = self._path().removeprefix("file://")
+        if not overwrite and os.path.isdir(path) and (found := files(path)):
+            have, new = footer_of(found[0]).schema, to_arrow_schema(schema)
+            if (have.names, have.types) != (new.names, new.types):
+                raise FormatError("the columns to append are not those of the folder's files")
         return BlockFileWriter(self._path(), schema, overwrite, int(self.options.get("rowgroup", blockfile.GROUP_ROWS)))
 
 

@@ -111,6 +111,34 @@ def test_data_source(spark, tmp_path):
     assert spark.read.format("blockfile").load(path).collect() == []
 
 
+def test_columns_option_and_append_guard(spark, tmp_path):
+    register(spark)
+    path = str(tmp_path / "t")
+    df = spark.range(50).selectExpr("id", "concat('n', id) AS name", "id * 0.5D AS half")
+    df.write.format("blockfile").mode("append").save(path)
+    some = spark.read.format("blockfile").option("columns", "half, id").option("where", "id >= 0").load(path)
+    assert some.columns == ["half", "id"] and sorted(r.id for r in some.collect()) == list(range(50))
+    df.write.format("blockfile").mode("append").save(path)
+    assert spark.read.format("blockfile").load(path).count() == 100
+    for wrong in (spark.range(3), df.selectExpr("name", "id", "half")):
+        with pytest.raises(Exception, match="columns to append"):
+            wrong.write.format("blockfile").mode("append").save(path)
+    assert spark.read.format("blockfile").load(path).count() == 100
+    with pytest.raises(Exception, match="unknown column"):
+        spark.read.format("blockfile").option("columns", "other").load(path).count()
+
+
+def test_files_that_differ_are_refused(spark, tmp_path):
+    register(spark)
+    for n, df in (("a", spark.range(3)), ("b", spark.range(3).selectExpr("id AS other"))):
+        df.coalesce(1).write.format("blockfile").mode("append").save(str(tmp_path / n))
+    (tmp_path / "both").mkdir()
+    for n in "ab":
+        next((tmp_path / n).glob("*.block")).rename(tmp_path / "both" / f"{n}.block")
+    with pytest.raises(Exception, match="first file"):
+        spark.read.format("blockfile").load(str(tmp_path / "both")).collect()
+
+
 def test_where_option_skips_groups(spark, tmp_path):
     register(spark)
     path = str(tmp_path / "t")
