@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarrion.functions.aggregates import quoted
 from quarrion.functions.kinds import Kind, kind_of
+from quarrion.operators.ranges import numbered
 from quarrion.operators.relational import _column, _several
 
 
@@ -38,20 +38,9 @@ def total_nulls(df: DataFrame) -> DataFrame:
 def block_zone_maps(df: DataFrame, order: str, column: str, rows: int = 65536) -> DataFrame:
     """(block, min, max, nulls, rows) for blocks of so many rows in the order of a unique column.
 
-    Rows are numbered within ranges of a numeric or temporal order column and by the rows of the ranges before, so no task
-    holds more than a range.  An order column of another type has one range.
+    Rows are numbered within ranges of the order column and by the rows of the ranges before, so no task holds more than a
+    range.
     """
-    key = _column(df, order, "ORDER BY")
-    placed = df.select(key.alias("_k"), _column(df, column, "statistics").alias(column))
-    bounds: list = []
-    if isinstance(df.schema[order].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        bounds = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    above = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("_k"))) if bounds else F.lit(0)
-    placed = placed.withColumn("_part", F.when(F.col("_k").isNull(), len(bounds) + 1).otherwise(above))
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    within = placed.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(F.col("_k").asc_nulls_last())) - 1)
-    # one row for each range: as many as the session has shuffle partitions
-    numbered = within.join(F.broadcast(before), "_part").withColumn("block", F.floor((F.col("_i") + F.col("_before")) / rows))
-    return numbered.groupBy("block").agg(*_measures(numbered, column))
+    rows_of = df.select(_column(df, order, "ORDER BY").alias("_k"), _column(df, column, "statistics").alias(column))
+    placed = numbered(rows_of, "_k", "_i", nulls_last=True).withColumn("block", F.floor(F.col("_i") / rows))
+    return placed.groupBy("block").agg(*_measures(placed, column))

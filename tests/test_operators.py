@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarrion.errors import PlanError
 from quarrion.functions import aggregates as A
 from quarrion.operators import aggregate, encodings, group_by, limit, order_by, project, scan, statistics, where
+from quarrion.operators.ranges import ranged
 
 
 def rows(df):
@@ -108,3 +109,43 @@ def test_logical_encodings(spark):
     assert sorted(rows(encodings.codes(df.where("v is not null"), "i", "v").select("value", "code", "uses"))) == [("x", 0, 3), ("y", 1, 1)]
     numbers = spark.createDataFrame([(1, 5), (2, 3), (3, 10)], "i bigint, v bigint")
     assert [r[2] for r in sorted(rows(encodings.deltas(numbers, "i", "v")))] == [5, -2, 7]
+
+
+@pytest.mark.parametrize("kind", ["string", "timestamp_ntz", "decimal(9,2)"])
+def test_logical_encodings_over_many_ranges(spark, kind):
+    rng = random.Random(7)
+    values = [rng.choice([None, "a", "b"]) if i % 50 else "c" for i in range(700)]
+    numbers = [rng.randrange(-1000, 1000) for _ in values]
+    made = {"string": "lpad(cast(i as string), 6, '0')", "date": "date_add(date'1999-12-01', i)", "timestamp_ntz": "timestamp_ntz'1999-03-28 00:00:00' + make_interval(0, 0, 0, 0, 0, 7 * i)", "timestamp": "timestamp_seconds(420 * i)"}
+    df = spark.createDataFrame([(i, v, n) for i, (v, n) in enumerate(zip(values, numbers, strict=True))], "i int, v string, n bigint").selectExpr("i", f"{made.get(kind, f'cast(i as {kind})')} AS k", "v", "n").repartition(5)
+    want, at = [], 0
+    while at < len(values):
+        to = at
+        while to < len(values) and values[to] == values[at]:
+            to += 1
+        want.append((len(want) + 1, values[at], to - at))
+        at = to
+    got = encodings.runs(df, "k", "v")
+    assert sorted(rows(got.select("run", "value", "length"))) == want
+    assert [r[0] for r in rows(got.select("start").orderBy("run"))] == [r[0] for r in rows(got.select("start").orderBy("start"))]
+    assert [r[0] for r in rows(encodings.deltas(df, "k", "n").orderBy("pos").select("delta"))] == [n - m for n, m in zip(numbers, [0, *numbers], strict=False)]
+    assert [r[0] for r in rows(encodings.codes(df, "k", "v").orderBy("first").select("value"))] == list(dict.fromkeys(values))
+    assert sorted(r[0] for r in rows(encodings.codes(df, "k", "n").select("code"))) == list(range(len(set(numbers))))
+
+
+def test_logical_encodings_of_little(spark):
+    none = spark.createDataFrame([], "i bigint, v string")
+    assert rows(encodings.runs(none, "i", "v")) == rows(encodings.codes(none, "i", "v")) == []
+    assert rows(encodings.runs(none.selectExpr("v AS i", "v"), "i", "v")) == []
+    one = spark.createDataFrame([(None, 5), (3, 7), (9, 7)], "i bigint, v bigint")
+    assert sorted(rows(encodings.runs(one, "i", "v")), key=lambda r: r[0]) == [(1, 5, None, 1), (2, 7, 3, 2)]
+    assert sorted(rows(encodings.deltas(one, "i", "v")), key=lambda r: r[0] or 0) == [(None, 5, 5), (3, 7, 2), (9, 7, 0)]
+    parts = spark.createDataFrame([("f", 1, 5), ("f", 2, 5), ("g", 1, 5)], "f string, i bigint, v bigint")
+    assert sorted(rows(encodings.runs(parts, "i", "v", within="f"))) == [("f", 1, 5, 1, 2), ("g", 1, 5, 1, 1)]
+    assert sorted(rows(encodings.deltas(parts, "i", "v", within="f"))) == [("f", 1, 5, 5), ("f", 2, 5, 0), ("g", 1, 5, 5)]
+
+
+def test_logical_encodings_use_several_tasks(spark):
+    df = spark.range(1000).selectExpr("id", "id % 3 AS v")
+    assert ranged(df, "id").groupBy("_part").count().where("count between 150 and 350").count() == 4
+    assert ranged(df.selectExpr("cast(id as string) AS id"), "id").groupBy("_part").count().where("count < 600").count() == 4
