@@ -6,7 +6,8 @@
 
 A path is a file or a folder of files, on a file system that every executor sees.  Row groups whose statistics rule out the
 ``where`` option (``column op literal``) are not read.  Parquet is the format for production tables: Spark hands a Python
-source neither the columns nor, by default, the filters that a query needs.
+source no columns, and its handing over of filters is left unused on purpose.  Spark 4.1 keeps the partitions that one query's
+filters leave for later queries of the same frame, which then lose rows (measured: 200 of 1000 counted after ``id >= 850``).
 """
 
 from __future__ import annotations

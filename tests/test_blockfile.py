@@ -147,6 +147,16 @@ def test_where_option_skips_groups(spark, tmp_path):
     assert some.count() == 200 and some.where("id >= 850").count() == 150
 
 
+def test_one_frame_with_many_filters_loses_nothing(spark, tmp_path):
+    register(spark)
+    path = str(tmp_path / "t")
+    df = spark.range(1000).coalesce(1).selectExpr("id", "concat('n', lpad(id, 4, '0')) AS name", "IF(id % 300 = 7, double('NaN'), double(id)) AS x", "IF(id > 200, NULL, id) AS some")
+    df.write.format("blockfile").option("rowgroup", "250").mode("append").save(path)
+    back = spark.read.format("blockfile").load(path)
+    for f in ("id >= 850", "true", "id IN (5, 905)", "name = 'n0333'", "x > 990", "NOT x < 990", "some IS NULL", "id < 50 OR x > 980"):
+        assert sorted(r.id for r in back.where(f).select("id").collect()) == sorted(r.id for r in df.where(f).select("id").collect()), f
+
+
 @pytest.mark.parametrize(("op", "value", "ok"), [("=", 5, True), ("=", 11, False), ("<", 1, False), ("<=", 1, True), (">", 10, False), (">=", 10, True), ("!=", 5, True), ("=", "x", True)])
 def test_zone_map_decisions(op, value, ok):
     assert may_match(bf.Chunk(0, 0, 0, 1, 10), pa.int64(), op, value) is ok

@@ -113,6 +113,23 @@ def test_spark_dialect(engine):
         engine.sql("SELECT 1", dialect="other")
 
 
+@pytest.mark.parametrize(
+    "query",
+    [
+        "SELECT SUM(name) AS s FROM people WHERE age > 1 AND age < 90", "SELECT city, AVG(name) FROM people GROUP BY city HAVING COUNT(*) > 0", "SELECT MIN(age > 30) FROM people", "SELECT age FROM people WHERE age > (SELECT MAX(city) FROM people)",
+        "WITH t AS (SELECT * FROM people) SELECT 1 + SUM(city) FROM t", "SELECT SUM(name) OVER (PARTITION BY city) FROM people", "SELECT age FROM people p WHERE EXISTS (SELECT SUM(name) FROM people q WHERE q.age = p.age)",
+    ],
+)
+def test_spark_dialect_refuses_aggregates_of_text(engine, query):
+    with pytest.raises(PlanError, match="is not defined for the"):
+        engine.sql(query, dialect="spark")
+
+
+def test_spark_dialect_takes_explicit_casts(engine):
+    assert rows(engine.sql("SELECT SUM(CAST(CAST(age AS STRING) AS BIGINT)) AS n, MIN(price) AS p FROM people WHERE age > 1 AND age < 90", dialect="spark")) == [(175, 10.5)]
+    assert rows(engine.sql("SELECT MAX(price) AS p FROM people WHERE age IN (SELECT MIN(age) FROM people)", dialect="spark")) == [(10.5,)]
+
+
 def test_plans_push_down_and_prune(spark, tmp_path, people):
     people.write.parquet(str(tmp_path / "people.parquet"))
     e = Engine(spark).load_folder(str(tmp_path), "people")
