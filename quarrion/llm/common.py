@@ -92,6 +92,11 @@ def crc_mod(column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
 
 
+def _drawn(hashed: Column, rows: Column, n: int) -> Column:
+    """Whether a hash belongs to the n of so many rows; the product may be beyond a long, so it is a double."""
+    return F.pmod(hashed, F.lit(1 << 30)).cast("double") * rows < float(n) * (1 << 30)
+
+
 def bounded_sample(df: DataFrame, key: str, n: int, per: str | None = None) -> DataFrame:
     """At most n rows (of each value of ``per``), chosen by a hash of the key; ``df`` should hold no texts.
 
@@ -103,7 +108,7 @@ def bounded_sample(df: DataFrame, key: str, n: int, per: str | None = None) -> D
     group = F.col(per) if per else F.lit(0)
     counts = df.groupBy(group.alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
     counts = F.broadcast(counts) if not per or counts.count() <= 10_000 else counts
-    thinned = df.join(counts, group == F.col("_g")).where(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) * F.col("_n") < 4.0 * n * (1 << 30))
+    thinned = df.join(counts, group == F.col("_g")).where(_drawn(F.xxhash64(F.col(key)), F.col("_n"), 4 * n))
     order = Window.partitionBy(group).orderBy(F.xxhash64(F.col(key)), F.col(key))
     return thinned.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).select(*df.columns)
 

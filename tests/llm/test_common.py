@@ -17,6 +17,11 @@ def test_join_groups_splits_hot_keys(spark, monkeypatch):
     assert got.where("k >= 5000 AND n IS NOT NULL").count() == 0 and got.where("k > 0 AND k < 5000 AND first = id").count() == 2500
 
 
+def test_drawing_from_a_trillion_rows(spark):
+    df = spark.range(100_000).select(common._drawn(F.xxhash64("id"), F.lit(10**12), 10**10).alias("in"))
+    assert 800 < df.where("in").count() < 1200
+
+
 def test_bounded_sample(spark):
     df = spark.range(5000).select("id", F.when(F.col("id") % 100 == 0, "rare").otherwise("common").alias("g"), F.lit("x").alias("more"))
     got = common.bounded_sample(df, "id", 200, "g")
