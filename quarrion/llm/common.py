@@ -19,6 +19,8 @@ from quarrion.session import share_package
 ARROW_ROWS = 512
 #: Text bytes that a worker hashes at once; a longer text is handled alone.
 CHUNK_BYTES = 1 << 20
+#: Whether Spark deletes the shuffle files of a write when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,13 +65,19 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: its lineage ends there, and a lost executor costs nothing.
 
     The schema is passed to the reader, so an empty frame comes back empty and no inference job runs.  These tables go when
-    the application's JVM ends, or by ``clear`` when their readers are done.
+    the application's JVM ends, or by ``clear`` when their readers are done.  The shuffle files of the write go when it ends,
+    so that those of an operator's steps do not add up on disk.
     """
     spark = df.sparkSession
     files, folder = _own_folder(spark)
     files.deleteOnExit(folder)
     path = f"{_own_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,4 +1,5 @@
 import re
+import time
 from pathlib import Path
 
 import pyarrow as pa
@@ -50,6 +51,25 @@ def test_stored_keeps_schema_of_empty_frames(spark):
     assert not any(shared.glob("quarrion-*"))
 
 
+def shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffle_files(spark), spark.conf.get(cleanup, None)
+    df = spark.range(100_000).repartition(4, "id").groupBy((F.col("id") % 1000).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    out = common.stored(df.join(spark.range(500).withColumnRenamed("id", "k").hint("merge"), "k"), "joined")
+    for _ in range(50):  # they go in the background
+        if shuffle_files(spark) <= before:
+            break
+        time.sleep(0.2)
+    assert shuffle_files(spark) <= before
+    assert out.count() == 500 and df.count() == 1000 and common.stored(df, "again").count() == 1000
+    assert spark.conf.get(cleanup, None) == setting
+
+
 def test_free_name():
     assert common.free_name(["a", "B_"], "b") == "b" and common.free_name(["b", "B_"], "b") == "b__"
 
