@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import suppress
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,6 +80,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    release_jvm_memory(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -95,6 +98,23 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def release_jvm_memory(spark: SparkSession) -> str:
+    """Give native memory that the driver's JVM has freed back to the system; what the JVM says, or nothing where it cannot.
+
+    Compiling the code of many plans takes and frees native memory, which the C library would keep.
+    """
+    jvm, new = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    with suppress(Py4JError, PySparkException):
+        of = jvm.java.lang.Class
+        kinds, given = new(of, 4), new(jvm.java.lang.Object, 4)
+        for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = of.forName(kind)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()  # its class is not public, the interface is
+        return of.forName("javax.management.MBeanServerConnection").getMethod("invoke", kinds).invoke(server, given)
+    return ""
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of an id as text, modulo n: the split that decides which rows a model may learn from."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))

@@ -70,6 +70,14 @@ def test_stored_leaves_no_shuffle_files(spark):
     assert spark.conf.get(cleanup, None) == setting
 
 
+def test_stored_releases_the_memory_of_the_jvm(spark, monkeypatch):
+    assert "Trim native heap" in common.release_jvm_memory(spark)
+    calls = []
+    monkeypatch.setattr(common, "release_jvm_memory", lambda s: calls.append(s))
+    common.stored(spark.range(3), "few")
+    assert calls == [spark]
+
+
 def test_free_name():
     assert common.free_name(["a", "B_"], "b") == "b" and common.free_name(["b", "B_"], "b") == "b__"
 
